@@ -33,6 +33,13 @@ def _without(column: Column, pattern: str) -> Column:
     return F.regexp_replace(column, F.lit(pattern), F.lit(""))
 
 
+def _words(text: Column) -> Column:
+    """The words: every white space becomes a blank, and what stands between blanks is a word."""
+    for c in "\t\n\v\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
 def _count(column: Column, characters: str) -> Column:
     """Characters of ``column`` in a regular expression's class."""
     return F.length(_without(column, f"[^{characters}]+")).cast("long")
@@ -45,7 +52,7 @@ def signals(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     other classes are counted in the short rest.
     """
     text = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", "lang", *keep, text.alias("t"), F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("w"), _without(text, r"[\p{Ll} ]+").alias("r"))
+    d = docs.select("doc_id", "lang", *keep, text.alias("t"), _words(text).alias("w"), _without(text, r"[\p{Ll} ]+").alias("r"))
     d = d.select("*", F.transform("w", lambda w: F.xxhash64(w)).alias("h"), (F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit("")))).cast("long").alias("blanks"))
     windows = F.when(F.size("h") >= 3, F.transform(F.sequence(F.lit(0), F.size("h") - 3), lambda i: F.struct(F.xxhash64(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2)).alias("key"), i.alias("i"))))
     d = d.select("*", F.sort_array(windows).alias("s"))
@@ -60,17 +67,13 @@ def signals(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     other = F.length("r").cast("long") - _count(F.col("r"), r"\t-\r") - upper - digit - mark
     n_words, repeats = F.size("w").cast("long"), F.coalesce(F.size(covered), F.lit(0)).cast("long")
     d = d.select(
-        "doc_id", "lang", *keep, "t", n_words.alias("n_words"), (F.length("t") - spaces).cast("long").alias("word_chars"),
+        "doc_id", "lang", *keep, "t", "w", n_words.alias("n_words"), (F.length("t") - spaces).cast("long").alias("word_chars"),
         _count(F.col("r"), r"#*$%&|<>").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("p") > 0, repeats).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"), F.array(lower, upper, digit, spaces, mark, other).alias("classes"),
     )
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def _letter_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
-
-
 def references(docs: DataFrame) -> DataFrame:
     """A row for each language: the counts of its character classes, its common words and their counts
     (the last count is of all other words), over all its texts."""
@@ -81,7 +84,7 @@ def references(docs: DataFrame) -> DataFrame:
     upper, digit, mark = _count(F.col("r"), r"\p{Lu}\p{Lt}"), _count(F.col("r"), r"\p{Nd}"), _count(F.col("r"), r".,;:!?'\"()\-")
     counts = d.select("lang", (F.length("t") - F.col("blanks") - F.length("r")).cast("long").alias("lower"), upper.alias("upper"), digit.alias("digit"), (F.col("blanks") + white).alias("space"), mark.alias("punctuation"), (F.length("r").cast("long") - white - upper - digit - mark).alias("other"))
     classes = counts.groupBy("lang").agg(F.array(*[F.sum(c) for c in CLASSES]).alias("ref_classes"))
-    words = docs.select("lang", F.explode(_letter_words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select("lang", F.explode(_words(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     # the rank limit is pushed below the window's exchange, so a task sends at most COMMON words of a language
     words = written(words, "rules-words")
     top = words.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= COMMON)
@@ -110,12 +113,12 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     refs = written(references(docs), "rules-references").withColumnRenamed("lang", "ref_lang")
     d = signals(docs, keep).join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     # places of the text's words in the list of common words; 0 where a word isn't listed
-    d = d.withColumn("places", F.transform(_letter_words(F.col("t")), lambda w: F.array_position("ref_words", w)))
-    d = d.withColumn("n_letter_words", F.size("places")).withColumn("common", F.filter("places", lambda x: x > 0))
+    d = d.withColumn("places", F.transform("w", lambda w: F.array_position("ref_words", F.lower(w))))
+    d = d.withColumn("common", F.filter("places", lambda x: x > 0))
     counts = F.transform(F.sequence(F.lit(1), F.size("ref_words")), lambda k: F.size(F.filter("common", lambda x: x == k)).cast("long"))
-    d = d.withColumn("counts", F.concat(counts, F.array((F.col("n_letter_words") - F.size("common")).cast("long"))))
+    d = d.withColumn("counts", F.concat(counts, F.array(F.col("n_words") - F.size("common"))))
     d = d.withColumn("class_distance", F.when(F.length("t") >= MIN_CLASS_CHARS, distance(F.col("classes"), F.col("ref_classes"))))
-    d = d.withColumn("word_distance", F.when((F.col("n_letter_words") >= MIN_COMMON_WORDS) & (F.size("ref_words") > 0), distance(F.col("counts"), F.col("ref_counts"))))
+    d = d.withColumn("word_distance", F.when((F.col("n_words") >= MIN_COMMON_WORDS) & (F.size("ref_words") > 0), distance(F.col("counts"), F.col("ref_counts"))))
     far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return d.select(
         "doc_id", "lang", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
