@@ -8,7 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, rules, sharding
+from . import bpe, language_id, mixing, rules, sharding, token_counts, warc_zip
+
+
+PIECE_MODEL, WORD_BPE = "piece_bpe_32k.model", "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizers' package keeps a vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +31,26 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to ZIP-packaged WARC archives and read back by range."""
+    return warc_zip.archive_and_read(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text by the sentencepiece model."""
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL), limit=4096)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the documents outside the held-out fold."""
+    return language_id.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of what they decode to."""
+    return bpe.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of near equal bytes."""
     placed = sharding.shard(_table(spark, sf_dir, "documents"), depth=4)
@@ -34,7 +64,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_warc": op2_warc,
+    "op3_token_counts": op3_token_counts,
     "op6_shard": op6_shard,
+    "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op9_bpe": op9_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
