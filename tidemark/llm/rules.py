@@ -115,7 +115,7 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     # places of the text's words in the list of common words; 0 where a word isn't listed
     d = d.withColumn("places", F.transform("w", lambda w: F.array_position("ref_words", F.lower(w))))
     d = d.withColumn("common", F.filter("places", lambda x: x > 0))
-    counts = F.transform(F.sequence(F.lit(1), F.size("ref_words")), lambda k: F.size(F.filter("common", lambda x: x == k)).cast("long"))
+    counts = F.transform(F.sequence(F.lit(1), F.size("ref_words")), lambda k: (F.size("common") - F.size(F.array_remove("common", k.cast("long")))).cast("long"))
     d = d.withColumn("counts", F.concat(counts, F.array(F.col("n_words") - F.size("common"))))
     d = d.withColumn("class_distance", F.when(F.length("t") >= MIN_CLASS_CHARS, distance(F.col("classes"), F.col("ref_classes"))))
     d = d.withColumn("word_distance", F.when((F.col("n_words") >= MIN_COMMON_WORDS) & (F.size("ref_words") > 0), distance(F.col("counts"), F.col("ref_counts"))))
