@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, mixing, rules, sharding, token_counts, warc_zip
+from . import bpe, jaccard_join, language_id, mixing, rules, sharding, token_counts, vector_graph, warc_zip
 
 
 PIECE_MODEL, WORD_BPE = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -41,6 +41,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL), limit=4096)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose word shingles overlap by at least 0.8."""
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), percent=80, width=5)
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors with a cosine of at least 0.98 under one label."""
+    return vector_graph.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.98)[0]
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from the documents outside the held-out fold."""
     return language_id.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
@@ -66,9 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_shard": op6_shard,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
