@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, mixing, rules, sharding, token_counts, vector_graph, warc_zip
+from . import bpe, jaccard_join, language_id, lm_score, mixing, rules, sharding, token_counts, vector_graph, warc_zip
 
 
 PIECE_MODEL, WORD_BPE = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -41,6 +41,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL), limit=4096)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every text by the attention model and by word counts."""
+    return lm_score.score(_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose word shingles overlap by at least 0.8."""
     return jaccard_join.join(_table(spark, sf_dir, "documents"), percent=80, width=5)
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
+    "op4_lm_score": op4_lm_score,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_shard": op6_shard,
     "op7_language_id": op7_language_id,
