@@ -1,0 +1,138 @@
+"""Drift between two sides by joins: a is believed, b is observed.
+
+Every rule is a join or anti-join of aggregated tables; findings carry severity, kind, place and the
+number of observed samples behind them.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import endpoints, shapes
+
+RANK = {"breaking": 0, "risky": 1, "info": 2}
+FINDING = ("severity", "kind", "endpoint", "status", "path", "before", "after", "b_samples")
+
+
+def finding(severity: Column | str, kind: str, status=None, path=None, before=None, after=None, samples=None) -> list[Column]:
+    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
+    severity = F.lit(severity) if isinstance(severity, str) else severity
+    return [
+        severity.alias("severity"), F.lit(kind).alias("kind"), F.col("endpoint"), (F.lit(None) if status is None else status).cast("int").alias("status"), text(path).alias("path"),
+        text(before).alias("before"), text(after).alias("after"), (F.lit(None) if samples is None else samples).cast("long").alias("b_samples"),
+    ]
+
+
+def endpoint_drift(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Endpoints only in a (breaking) and only in b (info)."""
+    x, y = (d.groupBy("endpoint").agg(F.count(F.lit(1)).alias("n")) for d in (a, b))
+    gone = x.join(y, "endpoint", "left_anti").select(*finding("breaking", "endpoint-removed"))
+    new = y.join(x, "endpoint", "left_anti").select(*finding("info", "endpoint-added", samples=F.col("n")))
+    return gone.union(new)
+
+
+def status_drift(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Statuses that one side of a shared endpoint has alone; both risky."""
+    x, y = endpoints.status_counts(a), endpoints.status_counts(b)
+    shared = a.select("endpoint").distinct().join(b.select("endpoint").distinct(), "endpoint")
+    both = x.withColumnRenamed("n", "na").join(y.withColumnRenamed("n", "nb"), ["endpoint", "status"], "full_outer").join(shared, "endpoint", "left_semi")
+    gone = both.where("nb is null").select(*finding("risky", "status-removed", status=F.col("status")))
+    return gone.union(both.where("na is null").select(*finding("risky", "status-added", status=F.col("status"), samples=F.col("nb"))))
+
+
+def field_drift(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Fields of objects that both sides have: removed (breaking), added (info), optional (risky) or required (info).
+    ``a`` and ``b`` are observations; the evidence is the observed object's samples, or an added field's own."""
+    on = ["endpoint", "status", "parent", "key"]
+    x, y = (shapes.fields(d) for d in (a, b))
+    objects = [shapes.nodes(d.where("family = 'object'")).select("endpoint", "status", F.col("path").alias("parent"), F.col("samples").alias(n)) for d, n in ((a, "sa"), (b, "sb"))]
+    shared = objects[0].join(objects[1], on[:3])
+    both = x.select(*on, F.col("optional").alias("oa")).join(y.select(*on, F.col("optional").alias("ob"), "seen"), on, "full_outer").join(shared, on[:3])
+    place = F.concat_ws(".", "parent", "key")
+    keep = lambda where, *f, **k: both.where(where).select(*finding(*f, status=F.col("status"), path=place, **k))
+    return (
+        keep("ob is null", "breaking", "field-removed", samples=F.col("sb"))
+        .union(keep("oa is null", "info", "field-added", samples=F.col("seen")))
+        .union(keep("not oa and ob", "risky", "optionality-changed", before=F.lit("required"), after=F.lit("optional"), samples=F.col("sb")))
+        .union(keep("oa and not ob", "info", "optionality-changed", before=F.lit("optional"), after=F.lit("required"), samples=F.col("sb")))
+    )
+
+
+def type_severity(before: Column, after: Column) -> Column:
+    numbers = before.isin("integer", "number") & after.isin("integer", "number")
+    return F.when(before == after, F.lit(None).cast("string")).when(numbers, "info").otherwise("breaking")
+
+
+def _types(obs: DataFrame) -> DataFrame:
+    """One row for each path: its kind (``union`` where there are several besides null), nullability, formats, samples."""
+    n = shapes.nodes(obs)
+    name = F.when(F.col("family") == "num", F.when(F.col("all_int"), "integer").otherwise("number")).otherwise(F.col("family"))
+    by = n.groupBy("endpoint", "status", "path").agg(
+        F.bool_or(F.col("family") == "null").alias("nullable"), F.sum((F.col("family") != "null").cast("int")).alias("k"),
+        F.max(F.when(F.col("family") != "null", name)).alias("one"), F.max(F.when(F.col("family") == "string", F.col("fmt_mask"))).alias("mask"), F.sum("samples").alias("samples"),
+    )
+    return by.withColumn("type", F.when(F.col("k") > 1, "union").when(F.col("k") == 0, "null").otherwise(F.col("one"))).drop("k", "one")
+
+
+def _paths(a: DataFrame, b: DataFrame) -> DataFrame:
+    on = ["endpoint", "status", "path"]
+    x, y = (_types(d).select(*on, *[F.col(c).alias(c + s) for c in ("nullable", "type", "mask", "samples")]) for d, s in ((a, "_a"), (b, "_b")))
+    return x.join(y, on)
+
+
+def nullability_drift(a: DataFrame, b: DataFrame) -> DataFrame:
+    severity = F.when(F.col("nullable_b"), "breaking").otherwise("info")
+    words = lambda c: F.when(F.col(c), "nullable").otherwise("non-null")
+    return _paths(a, b).where("nullable_a <> nullable_b").select(*finding(severity, "nullability-changed", F.col("status"), F.col("path"), words("nullable_a"), words("nullable_b"), F.col("samples_b")))
+
+
+def type_drift(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Paths of one kind on each side whose kinds differ."""
+    d = _paths(a, b).withColumn("severity", type_severity(F.col("type_a"), F.col("type_b"))).where("severity is not null and type_a not in ('union', 'null') and type_b not in ('union', 'null')")
+    return d.select(*finding(F.col("severity"), "type-changed", F.col("status"), F.col("path"), F.col("type_a"), F.col("type_b"), F.col("samples_b")))
+
+
+def format_drift(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Formats of strings: one lost (risky), or only gained (info)."""
+    d = _paths(a, b).where("type_a = 'string' and type_b = 'string' and mask_a <> mask_b")
+    severity = F.when(F.col("mask_a").bitwiseAND(F.bitwise_not("mask_b")) != 0, "risky").otherwise("info")
+    return d.select(*finding(severity, "format-changed", F.col("status"), F.col("path"), F.col("mask_a"), F.col("mask_b"), F.col("samples_b")))
+
+
+def enum_drift(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Values added (risky) and removed (info); an enum that opened is risky."""
+    on = ["endpoint", "status", "path"]
+    x, y = (shapes.enums(d).select(*on, F.split("values", ",").alias("v" + s), F.col("samples").alias("s" + s)) for d, s in ((a, "a"), (b, "b")))
+    both = x.join(y, on)
+    listed = lambda p, q: F.array_join(F.sort_array(F.array_except(p, q)), ",")
+    d = both.select("*", listed("vb", "va").alias("more"), listed("va", "vb").alias("less"))
+    more = d.where("more <> ''").select(*finding("risky", "enum-changed", F.col("status"), F.col("path"), after=F.col("more"), samples=F.col("sb")))
+    less = d.where("less <> ''").select(*finding("info", "enum-changed", F.col("status"), F.col("path"), before=F.col("less"), samples=F.col("sb")))
+    strings = _types(b).where("type = 'string'").select(*on, "samples")
+    opened = x.join(y, on, "left_anti").join(strings, on).select(*finding("risky", "enum-opened", F.col("status"), F.col("path"), F.array_join(F.sort_array("va"), ","), samples=F.col("samples")))
+    return more.union(less).union(opened)
+
+
+def param_drift(a: DataFrame, b: DataFrame) -> DataFrame:
+    x, y = (endpoints.param_first_format(d).select("endpoint", "name", F.col("format").alias("f" + s)) for d, s in ((a, "a"), (b, "b")))
+    return x.join(y, ["endpoint", "name"]).where("fa <> fb").select(*finding("risky", "params-changed", path=F.col("name"), before=F.col("fa"), after=F.col("fb")))
+
+
+def report(a: DataFrame, b: DataFrame, obs_a: DataFrame, obs_b: DataFrame) -> DataFrame:
+    """All findings, in the report's order."""
+    parts = [endpoint_drift(a, b), status_drift(a, b), param_drift(a, b)] + [f(obs_a, obs_b) for f in (field_drift, nullability_drift, type_drift, format_drift, enum_drift)]
+    rank = F.when(F.col("severity") == "breaking", 0).when(F.col("severity") == "risky", 1).otherwise(2)
+    return reduce(DataFrame.union, parts).orderBy(rank, "endpoint", F.col("path").asc_nulls_first(), "kind", "status", "before", "after")
+
+
+def summary(findings: DataFrame) -> DataFrame:
+    return findings.groupBy("severity", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fails(findings: DataFrame, level: str) -> DataFrame:
+    """One row: whether any finding is at least as severe as ``level``."""
+    bad = [s for s, r in RANK.items() if r <= RANK[level]]
+    return findings.agg(F.coalesce(F.bool_or(F.col("severity").isin(*bad)), F.lit(False)).alias("fails"))
