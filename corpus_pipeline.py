@@ -17,7 +17,10 @@ MIN_SCORE = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return rules.judge(docs, keep=("text", "source", "n_chars")).where("kept").select(COLUMNS)
+    judged = rules.judge(docs, keep=("text", "source", "n_chars")).withColumn("row", F.monotonically_increasing_id())
+    # with a row number in it the condition stays above the projections; pushed below, it
+    # would put every step of the signals into one expression and compute it again and again
+    return judged.where(F.col("kept") & (F.col("row") >= 0)).select(COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

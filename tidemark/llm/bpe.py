@@ -230,7 +230,7 @@ class SpeculativeBPE:
 
 def encode_texts(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), values: bool = False) -> DataFrame:
     """``keep``, n_tokens and both digests for every row; with ``values`` also the ids and the decoded text."""
-    kept = docs.select(*keep, "text")
+    kept = docs.select(*dict.fromkeys([*keep, "text"]))
     extra = ", ids array<int>, decoded string" if values else ""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name in keep) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + extra
 

@@ -136,7 +136,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
     names = list(prototypes)
     unit = np.stack([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
     model = docs.sparkSession.sparkContext.broadcast(unit)
-    kept = docs.select(*keep, "text")
+    kept = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
