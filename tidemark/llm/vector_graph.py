@@ -1,8 +1,11 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors are compared only under equal labels.  Equal vectors are one node.  A label's
-nodes are dealt to cluster shards, each node to its two nearest centroids, and a shard
-above ``SHARD_ROWS`` is divided by hash.  Each shard builds a graph: of a node's nearest
+nodes are dealt to clusters, each node to its two nearest; centroids that are near copies of
+each other make one cluster, so that no group round one centre is divided.  A cluster above
+``SHARD_ROWS`` is cut into blocks by hash, and every pair of its blocks meets in a tile of at
+most about ``SHARD_ROWS`` nodes, where all pairs are compared, so the cut parts no pair.  Each
+other cluster is a shard, which builds a graph: of a node's nearest
 and some random nodes, robust pruning keeps those that no kept one is much nearer to.
 The shards' adjacency lists of a node are united.  Every node is then searched for:
 greedily from the shard's medoids, and where near nodes are found the search expands
@@ -32,6 +35,8 @@ from .components import components
 from .shared import written
 
 SHARD_ROWS = 2000
+#: Of ``SHARD_ROWS``, a hash block's mean size: two blocks fit in a tile though hashing is uneven.
+BLOCK_SHARE = 0.4
 PER_CENTROID = 700
 MAX_CENTROIDS = 1024
 SAMPLE_ROWS = 20_000
@@ -115,8 +120,23 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], starts: np.ndarray, que
     return ids[hit], sims[hit]
 
 
-def _centroids(nodes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Centroids of each label and length from a bounded sample of rows."""
+def _merged(c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids by cluster, and where each cluster's begin: centroids that are near copies
+    themselves divide one group of near copies, so they, and chains of them, are one cluster."""
+    own = np.arange(len(c))
+    near = c @ c.T >= least
+    np.fill_diagonal(near, True)
+    while True:
+        lower = np.where(near, own[None], len(c)).min(1)
+        if (lower == own).all():
+            break
+        own = lower
+    order = np.argsort(own, kind="stable")
+    return c[order], np.unique(own[order], return_index=True)[1]
+
+
+def _centroids(nodes: DataFrame, least: float) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Centroids of each label and length from a bounded sample of rows, as ``_merged`` has them."""
     counts = {(r["label"], r["dim"]): r["n"] for r in nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = nodes.orderBy(F.xxhash64("node", F.lit(9))).limit(SAMPLE_ROWS).toPandas()
     out = {}
@@ -124,7 +144,7 @@ def _centroids(nodes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
         rows = sample[(sample.label == key[0]) & (sample.dim == key[1])]
         k = min(MAX_CENTROIDS, -(-total // PER_CENTROID), max(1, len(rows) // 8))
         if k <= 1:
-            out[key] = np.zeros((1, key[1]))
+            out[key] = np.zeros((1, key[1])), np.zeros(1, np.int64)
             continue
         x = unit(rows.embedding)
         c = x[np.random.default_rng(1).choice(len(x), k, replace=False)]
@@ -134,34 +154,57 @@ def _centroids(nodes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
                 if (own == j).any():
                     m = x[own == j].mean(0)
                     c[j] = m / max(np.linalg.norm(m), 1e-12)
-        out[key] = c
+        out[key] = _merged(c, least)
     return out
 
 
-def _deal(nodes: DataFrame) -> DataFrame:
-    """Every node once or twice: label, dim, shard, and whether it is the nearest one."""
-    model = nodes.sparkSession.sparkContext.broadcast(_centroids(nodes))
+def _deal(nodes: DataFrame, least: float) -> DataFrame:
+    """Every node once or twice: its cluster, in how many blocks that is cut, and whether it is the nearest one."""
+    model = nodes.sparkSession.sparkContext.broadcast(_centroids(nodes, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pdf = batch.to_pandas()
             for (label, dim), rows in pdf.groupby(["label", "dim"]):
-                c = model.value.get((label, dim))
-                if c is None or len(c) == 1:
+                c, begin = model.value.get((label, dim), (None, ()))
+                if len(begin) <= 1:
                     picks = np.zeros((len(rows), 1), np.int64)
                 else:
-                    picks = np.argsort(-(unit(rows.embedding) @ c.T), 1, kind="stable")[:, :2]
+                    picks = np.argsort(-np.maximum.reduceat(unit(rows.embedding) @ c.T, begin, axis=1), 1, kind="stable")[:, :2]
                 for j in range(picks.shape[1]):
                     part = rows.assign(cluster=picks[:, j], first=j == 0)
                     yield pa.RecordBatch.from_pandas(part[["node", "label", "dim", "embedding", "cluster", "first"]], preserve_index=False)
 
     dealt = written(nodes.mapInArrow(run, "node long, label int, dim int, embedding array<double>, cluster long, first boolean"), "graph-dealt")
-    sizes = dealt.groupBy("label", "dim", "cluster").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("parts"))
-    sizes = written(sizes, "graph-sizes")
+    n = F.count(F.lit(1))
+    parts = F.when(n <= SHARD_ROWS, 1).otherwise(F.ceil(n / (SHARD_ROWS * BLOCK_SHARE)))
+    sizes = written(dealt.groupBy("label", "dim", "cluster").agg(parts.cast("int").alias("parts")), "graph-sizes")
     joined = dealt.join(sizes, ["label", "dim", "cluster"])
-    # the nearest and the second shard are divided by different hashes, so that pairs parted in one may meet in the other
-    salt = F.pmod(F.when(F.col("first"), F.xxhash64("node")).otherwise(F.xxhash64("node", F.lit(2))), F.col("parts").cast("long"))
-    return joined.withColumn("shard", F.xxhash64("label", "dim", "cluster", salt)).select("node", "shard", "first", "embedding")
+    return joined.withColumn("shard", F.xxhash64("label", "dim", "cluster")).select("node", "label", "dim", "cluster", "shard", "first", "embedding", "parts")
+
+
+def _tiles(dealt: DataFrame, least: float) -> DataFrame:
+    """Links of clusters above ``SHARD_ROWS``: every pair of nodes is compared in one tile of two hash blocks, or of one."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        ids, block, x = pdf.node.to_numpy(), pdf.block.to_numpy(), unit(pdf.embedding)
+        left = np.flatnonzero(block == pdf.lo.iloc[0])
+        right = np.flatnonzero(block == pdf.hi.iloc[0])
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(left), 256):
+            rows = left[at : at + 256]
+            i, j = np.nonzero(x[rows] @ x[right].T >= least)
+            a.append(ids[rows[i]])
+            b.append(ids[right[j]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        links = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return links[links.a < links.b].drop_duplicates()
+
+    block = F.pmod(F.xxhash64("node"), F.col("parts").cast("long"))
+    cut = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    tiles = cut.select("label", "dim", "cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "embedding")
+    return tiles.groupBy("label", "dim", "cluster", "lo", "hi").applyInPandas(run, "a long, b long")
 
 
 def _adjacency(dealt: DataFrame) -> DataFrame:
@@ -192,7 +235,7 @@ def _search(dealt: DataFrame, adjacency: DataFrame, least: float) -> DataFrame:
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    return dealt.join(adjacency, "node", "left").groupBy("shard").applyInPandas(run, "a long, b long").distinct()
+    return dealt.join(adjacency, "node", "left").groupBy("shard").applyInPandas(run, "a long, b long")
 
 
 def valid(embeddings: DataFrame) -> DataFrame:
@@ -206,8 +249,10 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98) -> tuple[DataFra
     good = valid(embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), F.col("embedding").cast("array<double>").alias("embedding")))
     keyed = good.withColumn("key", F.xxhash64("label", "embedding")).withColumn("key2", F.xxhash64("embedding", F.lit(77)))
     nodes = written(keyed.groupBy("label", "key", "key2", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("embedding")), "graph-nodes")
-    dealt = written(_deal(nodes), "graph-shards")
-    links = written(_search(dealt, written(_adjacency(dealt), "graph-adjacency"), least), "graph-links")
+    dealt = written(_deal(nodes, least), "graph-shards")
+    whole = dealt.where("parts = 1").select("node", "shard", "first", "embedding")
+    found = _search(whole, written(_adjacency(whole), "graph-adjacency"), least)
+    links = written(found.union(_tiles(dealt.where("parts > 1"), least)).distinct(), "graph-links")
     both = links.union(links.select("b", "a"))
     other = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("around"))
     found = components(links)
