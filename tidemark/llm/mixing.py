@@ -77,11 +77,13 @@ def _meet(seed: int):
         gain, loss = F.least(now["size"] - now["mass"], new["mass"]), F.least(now["mass"], new["size"] - new["mass"])
         draw = _uniform(F.lit(seed), now["doc_id"], new["doc_id"], now["text_hash"], new["text_hash"])
         rises = draw * (gain + loss) < loss  # so that the mean change is nought
-        giver_out = F.when(total >= now["size"], F.struct((F.concat(state["done"], settled(now, 1))).alias("done"), F.when(total > now["size"], holding(new, total - now["size"])).otherwise(nobody).alias("now")))
+        # where the transfer fills one document and empties the other at once, both are settled
+        giver_out = F.when(total > now["size"], F.struct(F.concat(state["done"], settled(now, 1)).alias("done"), holding(new, total - now["size"]).alias("now")))
+        giver_out = giver_out.when(total == now["size"], F.struct(F.concat(state["done"], settled(now, 1), settled(new, 0)).alias("done"), nobody.alias("now")))
         giver_out = giver_out.otherwise(F.struct(F.concat(state["done"], settled(new, 0)).alias("done"), holding(now, total).alias("now")))
-        taker_full = F.when(total >= new["size"], F.struct(F.concat(state["done"], settled(new, 1)).alias("done"), F.when(total > new["size"], holding(now, total - new["size"])).otherwise(nobody).alias("now")))
+        taker_full = F.when(total > new["size"], F.struct(F.concat(state["done"], settled(new, 1)).alias("done"), holding(now, total - new["size"]).alias("now")))
+        taker_full = taker_full.when(total == new["size"], F.struct(F.concat(state["done"], settled(new, 1), settled(now, 0)).alias("done"), nobody.alias("now")))
         taker_full = taker_full.otherwise(F.struct(F.concat(state["done"], settled(now, 0)).alias("done"), holding(new, total).alias("now")))
-        # a document that got nothing of a transfer that emptied its partner exactly has been settled by neither branch
         both = F.when(rises, giver_out).otherwise(taker_full)
         return F.when(now.isNull(), F.struct(state["done"].alias("done"), new.cast(_DOC).alias("now"))).otherwise(both)
 
