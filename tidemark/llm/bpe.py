@@ -5,7 +5,9 @@ exactly when every two neighbours are *compatible*, that is when merging would n
 join anything across the border between them before both are complete.  All borders of
 all guessed words of a batch are tested at once on numpy arrays, by undoing the two
 tokens' merges step by step from the border.  Only words with a failing border undergo
-exact merging.
+exact merging: short ones together, a round for each merge, and a word of more than
+``LONG_WORD`` symbols by itself, rank after rank over the places where each can happen, so its time is
+about proportional to its length.
 
 Texts are cut at the library's special strings and at white space; normalising and
 cutting into words are those of the tokenizer's own components, once for each distinct
@@ -18,6 +20,7 @@ rows each get their row; an empty table gives an empty table; extra columns are
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STORE = 300_000
+LONG_WORD = 64
 SLICE_ROWS = 500
 #: Unicode's white space, which the tokenizer's \s matches.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -77,6 +81,9 @@ class SpeculativeBPE:
             self.rank[z], self.left[z], self.right[z] = r, x, y
             keys[r], self._made[r] = x * size + y, z
         self._size = size
+        if (np.maximum(self.rank[keys // size], self.rank[keys % size]) >= np.arange(len(keys))).any():
+            raise ValueError("a merge precedes one that makes a part of it")
+        self._pairs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         self._order = np.argsort(keys)
         self._keys = keys[self._order]
         # a token that merging doesn't rebuild from its own characters can't be guessed
@@ -86,6 +93,11 @@ class SpeculativeBPE:
         for t in made[np.argsort(self.rank[made])]:
             sound[t] &= sound[self.left[t]] and sound[self.right[t]]
         self._known = {t: i for t, i in self._ids.items() if sound[i]}
+        lengths: dict[str, set[int]] = {}
+        for t in self._known:
+            lengths.setdefault(t[:2], set()).add(len(t))
+        #: lengths of the tokens that begin with two characters, or are one, longest first
+        self._lengths = {head: sorted(found, reverse=True) for head, found in lengths.items()}
         self._longest = max(map(len, self._known))
         self._store: dict[str, tuple[bytes, str]] = {}
         self._words: dict[str, list[int]] = {}
@@ -130,24 +142,74 @@ class SpeculativeBPE:
         full, known, out, i = word + self._mark, self._known, [], 0
         n = len(word)
         while i < n:
-            end = min(n, i + self._longest)
-            if end == n and (t := known.get(full[i:])) is not None:
+            if n - i <= self._longest and (t := known.get(full[i:])) is not None:
                 out.append(t)
                 return out
-            for j in range(min(end, n - 1), i, -1):
-                if (t := known.get(word[i:j])) is not None:
+            for k in self._lengths.get(word[i : i + 2], ()):
+                # the last character ends with the mark, so it is in no token before
+                if i + k < n and (t := known.get(word[i : i + k])) is not None:
                     out.append(t)
-                    i = j
+                    i += k
                     break
             else:
-                return None
+                if i + 1 < n and (t := known.get(word[i])) is not None:
+                    out.append(t)
+                    i += 1
+                else:
+                    return None
         return out
 
+    def _exact_long(self, word: str) -> list[int]:
+        """Merging one long word: for each rank, the least first, all its places from left to right.
+
+        A merge makes no pair of a lesser rank, so a rank is done when its places are.
+        """
+        known, size, pairs = self._ids, self._size, self._pairs
+        token = [i for x in self._symbols(word) if (i := known.get(x)) is not None]
+        n = len(token)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        flat = np.array(token, np.int64)
+        rank = self._pair_rank(flat[:-1], flat[1:])
+        order = np.argsort(rank, kind="stable")
+        order = order[rank[order] < _NEVER]
+        found, begin = np.unique(rank[order], return_index=True)
+        places = {int(r): p.tolist() for r, p in zip(found, np.split(order, begin[1:]), strict=True)} if len(found) else {}
+        todo = list(places)
+        heapq.heapify(todo)
+        left, right, made = self.left, self.right, self._made
+        while todo:
+            r = heapq.heappop(todo)
+            z = int(made[r])
+            x, y = int(left[z]), int(right[z])
+            for i in sorted(places.pop(r)):
+                j = after[i]
+                if token[i] != x or j >= n or token[j] != y:
+                    continue
+                k, h = after[j], before[i]
+                token[i], token[j], after[i] = z, -1, k
+                if k < n:
+                    before[k] = i
+                    new = pairs.get(z * size + token[k])
+                    if new is not None:
+                        if new not in places:
+                            places[new] = []
+                            heapq.heappush(todo, new)
+                        places[new].append(i)
+                if h >= 0:
+                    new = pairs.get(token[h] * size + z)
+                    if new is not None:
+                        if new not in places:
+                            places[new] = []
+                            heapq.heappush(todo, new)
+                        places[new].append(h)
+        return [t for t in token if t >= 0]
+
     def _exact(self, words: list[str]) -> list[list[int]]:
         """Merging in order of rank, the leftmost first; one merge of every word in each round."""
         known = self._ids
-        made = [[i for x in self._symbols(w) if (i := known.get(x)) is not None] for w in words]
-        out = [m if len(m) < 2 else [] for m in made]
+        long = {k: self._exact_long(w) for k, w in enumerate(words) if len(w) > LONG_WORD}
+        made = [long[k][:1] if k in long else [i for x in self._symbols(w) if (i := known.get(x)) is not None] for k, w in enumerate(words)]
+        out = [long.get(k, m) if len(m) < 2 else [] for k, m in enumerate(made)]
         flat = np.array([i for m in made if len(m) > 1 for i in m], np.int64)
         owner = np.repeat(np.array([k for k, m in enumerate(made) if len(m) > 1], np.int64), [len(m) for m in made if len(m) > 1])
         while len(flat):
