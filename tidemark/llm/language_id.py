@@ -8,7 +8,10 @@ text's language is the prototype with the largest cosine.
 
 Training sums run counts by language inside each task, so a task sends one vector for
 each language it met; vectors are summed by Spark.  Prediction works on slices of about
-equal bytes: run counts of the slice's texts times the runs' vectors.
+equal length: run counts of the slice's texts times the runs' vectors.  A slice is halved until its texts
+times its distinct runs are at most ``CELLS``, a longer text is cut into pieces at gaps (the run
+across a cut is counted in the later piece), and vectors are used ``RUNS_AT_ONCE`` at a time, so
+memory depends on these bounds, not on the texts or their alphabet.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every
 text when there is nothing to learn from; equal cosines go to the least language; repeated
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1024
 SLICE_BYTES = 1 << 19
 KNOWN_RUNS = 16_384
+CELLS = 1 << 21
+RUNS_AT_ONCE = 4096
 _CODES = 0x110000
 _letters: np.ndarray | None = None
 
@@ -103,6 +108,60 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
             lo, size = i + 1, 0
 
 
+def _pieces(text: str) -> Iterator[tuple[str, int]]:
+    """A long text's pieces, cut after a letter and a gap, and how many of its first runs the piece before had.
+
+    A later piece begins with the last letter before the gap: of its runs the first, (gap, letter,
+    gap), is no run of the text.
+    """
+    letters, lo, skip = _letter_table(), 0, 0
+    while len(text) - lo > SLICE_BYTES:
+        hi = lo + SLICE_BYTES
+        while hi < len(text) and not (letters[ord(text[hi - 1])] and not letters[ord(text[hi])]):
+            hi += 1
+        if hi >= len(text):
+            break
+        yield text[lo:hi], skip
+        lo, skip = hi - 1, 1
+    yield text[lo:], skip
+
+
+def _counted(texts: list[str | None], group: np.ndarray, groups: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(runs, counts, places): counts of distinct runs in the groups at ``places``, at most ``CELLS`` at a time
+    where a single group has not more runs.  ``group`` is the group of each text."""
+    if len(texts) == 1 and texts[0] and len(texts[0]) > SLICE_BYTES:
+        for piece, skip in _pieces(texts[0]):
+            seen, which, _ = letter_runs([piece])
+            if len(seen):
+                yield seen, np.bincount(which[skip:], minlength=len(seen))[None], group
+        return
+    seen, which, owner = letter_runs(texts)
+    places, inside = np.unique(group, return_inverse=True)
+    if len(seen) * len(places) > CELLS and len(texts) > 1:
+        half = len(texts) // 2
+        yield from _counted(texts[:half], group[:half], groups)
+        yield from _counted(texts[half:], group[half:], groups)
+    elif len(seen):
+        yield seen, np.bincount(inside[owner] * len(seen) + which, minlength=len(places) * len(seen)).reshape(len(places), -1), places
+
+
+def bundles(runs: Runs, texts: list[str | None], group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The summed vectors of each group's runs, and whether it has a letter."""
+    out, has, letters = np.zeros((groups, DIMENSIONS)), np.zeros(groups, bool), _letter_table()
+    long = [k for k, t in enumerate(texts) if t and len(t) > SLICE_BYTES]
+    parts = [([texts[k]], group[k : k + 1]) for k in long]
+    if len(long) < len(texts):
+        rest = np.setdiff1d(np.arange(len(texts)), long)
+        parts.append(([texts[k] for k in rest], group[rest]))
+    for some, where in parts:
+        for seen, counts, places in _counted(some, where, groups):
+            for lo in range(0, len(seen), RUNS_AT_ONCE):
+                part = slice(lo, lo + RUNS_AT_ONCE)
+                out[places] += counts[:, part].astype(np.float32) @ runs.vectors(seen[part])
+                has[places] |= (counts[:, part] > 0) @ letters[seen[part]].any(1)
+    return out, has
+
+
 def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
     """Prototypes from rows of (text, lang), all of them."""
 
@@ -113,12 +172,7 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
             for lo, texts in _slices(batch.column("text")):
                 names = sorted(set(langs[lo : lo + len(texts)]))
                 number = np.array([names.index(x) for x in langs[lo : lo + len(texts)]])
-                seen, which, owner = letter_runs(texts)
-                if not len(seen):
-                    continue
-                counts = np.bincount(number[owner] * len(seen) + which, minlength=len(names) * len(seen)).reshape(len(names), -1)
-                sums = counts.astype(np.float32) @ runs.vectors(seen)
-                for name, s in zip(names, sums, strict=True):
+                for name, s in zip(names, bundles(runs, texts, number, len(names))[0], strict=True):
                     total[name] = total.get(name, 0) + np.rint(s).astype(np.int64)
         names = sorted(total)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([total[n] for n in names], pa.list_(pa.int64()))], ["lang", "bundle"])
@@ -141,17 +195,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, languages = Runs(), model.value
-        letters = _letter_table()
         for batch in batches:
             for lo, texts in _slices(batch.column("text")):
                 pred, score = ["und"] * len(texts), np.zeros(len(texts))
-                seen, which, owner = letter_runs(texts)
-                if len(seen) and len(languages):
-                    counts = np.bincount(owner * len(seen) + which, minlength=len(texts) * len(seen)).reshape(len(texts), -1)
-                    bundles = counts.astype(np.float32) @ runs.vectors(seen)
-                    cosine = (bundles @ languages.T) / np.maximum(np.linalg.norm(bundles, axis=1, keepdims=True), 1e-9)
-                    has = np.zeros(len(texts), bool)
-                    has[owner[letters[seen].any(1)[which]]] = True
+                if len(languages):
+                    found, has = bundles(runs, texts, np.arange(len(texts)), len(texts))
+                    cosine = (found @ languages.T) / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-9)
                     best = cosine.argmax(1)
                     for i in np.flatnonzero(has):
                         pred[i], score[i] = names[best[i]], min(1.0, max(0.0, float(cosine[i, best[i]])))
