@@ -3,10 +3,12 @@
 Every document is a point: its language, source and length, each as a number that
 keeps the column's order.  A node of the tree is cut along its widest dimension at
 the point that halves its bytes, until there are ``2 ** depth`` leaves, which is
-where a leaf has the target bytes.  Equal texts are one group and stand at one
-point (the least language and source of the group), so that a cut keeps them
-together; only a group of more than ``SPLIT`` of a leaf's bytes, when a cut falls into
-it, is divided, by doc_id and then by row.
+where a leaf has the target bytes.  Equal texts are one group, stand at one point (the
+least language and source of the group) and stay in one shard: where a cut falls into a group,
+the group goes as a whole to the side that brings the cut nearer to half, and where that misses
+half by more than ``FINE`` of a leaf, the cut is sought again among the others for the bytes still
+missing (for up to ``PLACED`` groups of a node).  Only a group that is heavier than a whole
+leaf, which no shard could take, is divided, by a hash of doc_id.
 
 A weighted median is found without sorting: the bytes of a node are summed in
 ``BINS`` equal bins of the key's range, the bin that holds the half is binned again,
@@ -27,8 +29,7 @@ from pyspark.sql import functions as F
 from .shared import written
 
 BINS = 1024
-FINE = 0.01
-SPLIT = 0.05
+FINE, PLACED = 0.01, 8
 SLOT_ROWS = 20_000
 _TOP = 2**62
 
@@ -60,13 +61,14 @@ def points(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "size", "text_crc32", "grp", F.coalesce("g0", "x0").alias("x0"), F.coalesce("g1", "x1").alias("x1"), F.col("size").alias("x2"), row_key.alias("row"))
 
 
-def _cut(rows: DataFrame, nodes: dict[int, dict], leaf_bytes: float) -> dict[int, tuple[int, int, int, int]]:
-    """For each node the key (dimension, coordinate, group, row) at which its bytes are halved.
+def _cut(rows: DataFrame, nodes: dict[int, dict], leaf_bytes: float) -> dict[int, dict]:
+    """For each node the key (dimension, coordinate, group, row) at which its bytes are halved, and the
+    groups placed as a whole to its left and right.
 
     Rounds of binning over coordinate, then group, then row; every round narrows each
     node's interval by ``BINS``.
     """
-    state = {n: {"level": 0, "lo": v["lo"], "hi": v["hi"], "below": 0, "at": []} for n, v in nodes.items()}
+    state = {n: {"level": 0, "lo": v["lo"], "hi": v["hi"], "below": 0, "at": [], "want": v["bytes"] / 2, "left": [], "right": []} for n, v in nodes.items()}
     open_ = set(state)
     while open_:
         parts = []
@@ -82,6 +84,8 @@ def _cut(rows: DataFrame, nodes: dict[int, dict], leaf_bytes: float) -> dict[int
                 inside = (F.col("node") == n) & keys[level].between(s["lo"], s["hi"])
                 for k, at in zip(keys, s["at"], strict=False):
                     inside &= k == at
+                if s["left"] or s["right"]:
+                    inside &= ~F.col("grp").isin(s["left"] + s["right"])
                 column, hit = F.when(inside, keys[level]).otherwise(column), hit | inside
                 lo, step = F.when(inside, F.lit(s["lo"])).otherwise(lo), F.when(inside, F.lit(s["step"])).otherwise(step)
             parts.append(rows.where(hit).select("node", "size", F.call_function("div", column - lo, step).alias("bin"), column.alias("key")))
@@ -89,29 +93,37 @@ def _cut(rows: DataFrame, nodes: dict[int, dict], leaf_bytes: float) -> dict[int
         for p in parts[1:]:
             binned = binned.unionByName(p)
         sums = binned.groupBy("node", "bin").agg(F.sum("size").alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-        found: dict[int, list] = {}
+        found: dict[int, list] = {n: [] for n in open_}
         for row in sums.collect():  # at most BINS rows for each node, whatever the table
-            found.setdefault(row["node"], []).append(row)
+            found[row["node"]].append(row)
         for n, bins in found.items():
-            s, want, run = state[n], nodes[n]["bytes"] / 2, state[n]["below"]
+            s, run = state[n], state[n]["below"]
+            if not bins:  # every group of the node is placed
+                s["cut"] = (_TOP * 2 - 1,) * 3
+                open_.discard(n)
+                continue
             bins.sort(key=lambda b: b["bin"])
             for b in bins:
-                if run + b["bytes"] >= want or b is bins[-1]:
+                if run + b["bytes"] >= s["want"] or b is bins[-1]:
                     break
                 run += b["bytes"]
             lo, hi = b["lo"], b["hi"]
             s["below"], s["lo"], s["hi"] = run, lo, hi
-            light = b["bytes"] <= FINE * leaf_bytes
-            if light or lo == hi and (s["level"] == 2 or s["level"] == 1 and b["bytes"] <= SPLIT * leaf_bytes):
-                # not worth cutting, or not to be cut: the nearer of its two ends
-                end = hi if want - run > b["bytes"] / 2 else lo - 1
-                s["cut"] = (*s["at"], end, *([_TOP * 2 - 1] * (2 - s["level"])))
+            over = s["want"] - run > b["bytes"] / 2  # the upper of the bin's two ends is the nearer
+            missed = abs(s["want"] - run - (b["bytes"] if over else 0))
+            whole = lo == hi and s["level"] == 1 and b["bytes"] <= leaf_bytes
+            placed = len(s["left"]) + len(s["right"])
+            if b["bytes"] <= FINE * leaf_bytes or lo == hi and s["level"] == 2 or whole and (missed <= FINE * leaf_bytes or placed == PLACED):
+                s["cut"] = (*s["at"], hi if over else lo - 1, *([_TOP * 2 - 1] * (2 - s["level"])))
                 open_.discard(n)
+            elif whole:
+                s["left" if over else "right"].append(lo)
+                s |= {"level": 0, "lo": nodes[n]["lo"], "hi": nodes[n]["hi"], "below": 0, "at": [], "want": s["want"] - (b["bytes"] if over else 0)}
             elif lo == hi:
                 s["at"].append(lo)
                 s["level"] += 1
                 s["lo"], s["hi"] = (0, _TOP - 1)
-    return {n: (nodes[n]["dim"], *s["cut"]) for n, s in state.items()}
+    return {n: {"dim": nodes[n]["dim"], "cut": s["cut"], "left": s["left"], "right": s["right"]} for n, s in state.items()}
 
 
 def shard(docs: DataFrame, depth: int = 4) -> DataFrame:
@@ -132,9 +144,12 @@ def shard(docs: DataFrame, depth: int = 4) -> DataFrame:
             dim = max(range(3), key=lambda k: ((s[f"max_x{k}"] - s[f"min_x{k}"]) / span[f"x{k}"], -k))
             nodes[s["node"]] = {"bytes": s["bytes"], "dim": dim, "lo": s[f"min_x{dim}"], "hi": s[f"max_x{dim}"]}
         below = F.lit(True)
-        for n, (dim, x, g, r) in _cut(rows_now, nodes, leaf_bytes).items():
-            c = F.col(f"x{dim}")
+        for n, found in _cut(rows_now, nodes, leaf_bytes).items():
+            c, (x, g, r) = F.col(f"x{found['dim']}"), found["cut"]
             less = (c < x) | ((c == x) & ((F.col("grp") < g) | ((F.col("grp") == g) & (F.col("row") <= r))))
+            for side in ("left", "right"):
+                if found[side]:
+                    less = F.when(F.col("grp").isin(found[side]), side == "left").otherwise(less)
             below = F.when(node == n, less).otherwise(below)
         rows = written(rows.select("doc_id", "size", "text_crc32", "grp", *dims, "row", (node * 2 + F.when(below, 0).otherwise(1)).alias("n")), "shard-level")
         node = F.col("n")
