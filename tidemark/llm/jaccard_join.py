@@ -1,6 +1,6 @@
 """Exact self-join of documents by the Jaccard similarity of their word shingles.
 
-1. Equal sets are one class, and its least doc_id stands for it.
+1. Equal sets are one class, a node named by a hash of the set; one row of it stands for it.
 2. Two sets that reach the threshold share a shingle among the first ``n - ceil(t n) + 1``
    of each in any fixed order of all shingles.  The order puts shingles known to occur in
    several documents last, the more frequent the later, so few documents meet by chance.
@@ -10,15 +10,20 @@
    bitmaps do: each shingle flips one of 1,024 bits, and the bits in which two bitmaps
    differ bound the overlap from above.  Where more than ``PAIRS_UP_TO`` meet, pairs are
    not listed: all become neighbours of one of them.
-4. Connected candidates form a cluster.  A cluster is cut into blocks by size band (a
-   factor of 1/t) and hash; a tile holds one or two blocks of equal or adjacent bands.  In
-   a tile bitmaps are compared first, then sorted arrays are intersected, and pairs that
-   are already connected are skipped.
-5. Links make components; every document takes its class's.
-
-Defined cases: a null, empty or blank text has no shingle and links with nothing; fewer
-words than a shingle make one; rows that share a doc_id are one node; an empty table gives
-an empty table; extra columns are ignored.
+4. Connected candidates form a cluster.  In a cluster of more than ``BLOCK`` every document is first
+   held against the cluster's leader, its least one, and those that link with it form its team; what
+   is left gets a new leader, ``LEADERS`` times.  So a large group of near copies costs
+   a comparison for each of them.
+5. A cluster is cut into blocks by size band (a factor of 1/t), team and hash, bounded in documents
+   and in shingles; a tile holds one or two blocks of equal or adjacent bands that aren't of the
+   same leader's team.  In a tile bitmaps are compared first, then sorted arrays are
+   intersected, and pairs that are already connected are skipped.
+6. Links make components; every document takes its class's.
+
+Defined cases: a null, empty or blank text has no shingle and links with nothing, so its component
+is its own doc_id; fewer words than a shingle make one; rows that share a doc_id keep their own
+texts and links; a null doc_id names no component in which there is another id; repeated rows each
+get their row; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vector_text as V
@@ -38,7 +43,8 @@ BITS = 1024
 KNOWN_SHINGLES = 1_000_000
 HOT = 1024
 PAIRS_UP_TO = 64
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 128, 1 << 20
+LEADERS = 3
 BROADCAST_ROWS = 500_000
 
 
@@ -62,23 +68,32 @@ def _pick(values: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndar
     return values[keep], np.append(0, np.cumsum(np.minimum(take, np.diff(at))))
 
 
+def _node() -> Column:
+    """The class of a set, from its size and a 128-bit key."""
+    return F.xxhash64("n", "s1", "s2").alias("node")
+
+
+def _keys_of(values: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """Size and the two halves of the key of each set."""
+    sums = [np.append(np.zeros(1, np.uint64), np.cumsum(x)) for x in (values, V.mix(values ^ np.uint64(0x5851F42D4C957F2D)))]
+    return [pa.array(np.diff(first)), *[pa.array((x[first[1:]] - x[first[:-1]]).view(np.int64)) for x in sums]]
+
+
 def _sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """doc_id, n, a 128-bit key of the set, and its first shingles in the order of their hashes."""
+    """doc_id, text_hash, n, node, and the set's first shingles in the order of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in V.chunks(batch.column("text")):
                 values, first = V.shingle_sets(data, at, width)
                 n = np.diff(first)
-                total = np.append(np.zeros(1, np.uint64), np.cumsum(values))
-                twist = np.append(np.zeros(1, np.uint64), np.cumsum(V.mix(values ^ np.uint64(0x5851F42D4C957F2D))))
                 keys, ends = _pick(values, first, np.where(n > 0, prefix_length(n, percent), 0))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array((total[first[1:]] - total[first[:-1]]).view(np.int64)), pa.array((twist[first[1:]] - twist[first[:-1]]).view(np.int64)), V.list_column(keys, ends)],
-                    ["doc_id", "n", "s1", "s2", "keys"],
-                )
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *_keys_of(values, first), V.list_column(keys, ends)], ["doc_id", "text_hash", "n", "s1", "s2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    found = rows.mapInArrow(run, "doc_id long, text_hash long, n long, s1 long, s2 long, keys array<long>")
+    return found.select("doc_id", "text_hash", "n", _node(), "keys")
 
 
 def _known(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +113,8 @@ def _known(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], n[order]
 
 
-def _prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: int, width: int) -> DataFrame:
-    """doc_id, n, the first shingles in the final order (those of hot ones apart) and the bitmap."""
+def _prefixes(docs: DataFrame, reps: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: int, width: int) -> DataFrame:
+    """node, n, the first shingles in the final order (those of hot ones apart) and the bitmap, of one row of each class."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +122,7 @@ def _prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: in
         for batch in batches:
             for lo, hi, data, at in V.chunks(batch.column("text")):
                 values, first = V.shingle_sets(data, at, width)
-                n, bits = np.diff(first), _bitmaps(values, first)
+                n, bits, keys_of = np.diff(first), _bitmaps(values, first), _keys_of(values, first)
                 count = np.zeros(len(values), np.int64)
                 if len(keys) and len(values):
                     where = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
@@ -120,11 +135,18 @@ def _prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], percent: in
                 hot = _pick(count, first, take)[0] >= HOT
                 split = lambda mask, p=picked, e=ends: V.list_column(p[mask], np.append(0, np.cumsum(mask))[e])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(n), split(~hot), split(hot), V.list_column(bits.ravel(), np.arange(len(n) + 1) * (BITS // 64))],
-                    ["doc_id", "n", "cold", "hot", "bits"],
+                    [batch.column("doc_id").slice(lo, hi - lo), *keys_of, split(~hot), split(hot), V.list_column(bits.ravel(), np.arange(len(n) + 1) * (BITS // 64))],
+                    ["doc_id", "n", "s1", "s2", "cold", "hot", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cold array<long>, hot array<long>, bits array<long>")
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, cold array<long>, hot array<long>, bits array<long>")
+    return _one_of_each(found.select("doc_id", _node(), "n", "cold", "hot", "bits"), reps)
+
+
+def _one_of_each(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """One row of each class in ``reps`` (rep, class): of its least doc_id's rows, which are equal, any."""
+    mine = rows.join(reps, (F.col("node") == F.col("class")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").drop("doc_id")
+    return mine.groupBy("node").agg(*[F.first(c).alias(c) for c in mine.columns if c != "node"])
 
 
 def _meetings(postings: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -153,7 +175,7 @@ def _meetings(postings: DataFrame, percent: int, parts: int) -> DataFrame:
             # shingles met once, the most of them, are left out without a loop
             same = keys[1:] == keys[:-1]
             use = np.append(same, True) | np.append(True, same)
-            ids, ns = batch.column("doc_id").to_numpy()[use].tolist(), batch.column("n").to_numpy()[use].tolist()
+            ids, ns = batch.column("node").to_numpy()[use].tolist(), batch.column("n").to_numpy()[use].tolist()
             for k, d, n in zip(keys[use].tolist(), ids, ns, strict=True):
                 if k != key:
                     close()
@@ -174,53 +196,66 @@ def _meetings(postings: DataFrame, percent: int, parts: int) -> DataFrame:
         if pairs:
             yield out(*zip(*pairs, strict=True))
 
-    return postings.repartition(parts, "key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(run, "a long, b long, wide boolean")
+    return postings.repartition(parts, "key").sortWithinPartitions("key", "n", "node").mapInArrow(run, "a long, b long, wide boolean")
 
 
 def _candidates(reps: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between documents that may reach the threshold."""
     parts = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    meet = written(_meetings(reps.select(F.explode("cold").alias("key"), "doc_id", "n"), percent, parts).distinct(), "jaccard-meetings")
-    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    meet = written(_meetings(reps.select(F.explode("cold").alias("key"), "node", "n"), percent, parts).distinct(), "jaccard-meetings")
+    side = lambda x: reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     pairs = meet.where("not wide").join(side("a"), "a").join(side("b"), "b")
     differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITS // 64)), F.lit(0))
     sizes = F.col("n_a") + F.col("n_b")
     # the overlap is at most (sizes - differ) / 2
     near = pairs.where((100 + percent) * (sizes - differ) >= 2 * percent * sizes).select("a", "b")
-    hot = reps.select(F.explode("hot").alias("key"), "doc_id")
-    leaders = written(hot.groupBy("key").agg(F.min("doc_id").alias("leader")), "jaccard-leaders")
-    stars = hot.join(leaders, "key").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    hot = reps.select(F.explode("hot").alias("key"), "node")
+    leaders = written(hot.groupBy("key").agg(F.min("node").alias("leader")), "jaccard-leaders")
+    stars = hot.join(leaders, "key").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     return near.union(meet.where("wide").select("a", "b")).union(stars)
 
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, tile): each cluster's documents dealt to tiles so that any two whose sizes
-    allow a link share one."""
+    """(node, team, tile): each cluster's documents (node, n, cluster, team, which is 0 for those of
+    no leader) dealt to tiles so that any two that may link, and aren't of one leader's team, share one."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    m = members.withColumn("band", band)
-    counts = m.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("k"))
-    plan = counts.groupBy("cluster").agg(F.sum("k").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))).alias("blocks"))
-    plan = written(plan.where(F.col("total") > BLOCK), "jaccard-plan")
+    teams = LEADERS + 1
+    m = members.withColumn("kind", band * teams + F.col("team"))
+    counts = m.groupBy("cluster", "kind").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    plan = counts.groupBy("cluster").agg(F.sum("k").alias("total"), F.sum("shingles").alias("size"), F.map_from_entries(F.collect_list(F.struct("kind", blocks.alias("blocks")))).alias("blocks"))
+    plan = written(plan.where((F.col("total") > BLOCK) | (F.col("size") > BLOCK_SHINGLES)), "jaccard-plan")
     joined = m.join(plan.select(F.col("cluster").alias("c"), "blocks"), F.col("cluster") == F.col("c"), "left")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.try_element_at("blocks", F.col("band")).cast("long"))
+    own = F.pmod(F.xxhash64("node", F.lit(11)), F.try_element_at("blocks", F.col("kind")).cast("long"))
+
+    def with_blocks_of(kind):
+        """Tiles with each block of a kind: named by the two blocks, the lesser first."""
+        many = F.coalesce(F.try_element_at("blocks", kind), F.lit(0))
+        mine = F.struct(F.col("kind").cast("long").alias("kind"), own.alias("block"))
+
+        def name(t):
+            other = F.struct(kind.cast("long").alias("kind"), t.cast("long").alias("block"))
+            low, high = F.least(mine, other), F.greatest(mine, other)
+            return F.xxhash64("cluster", low["kind"], low["block"], high["kind"], high["block"])
 
-    def across(b, flip):
-        many = F.coalesce(F.try_element_at("blocks", b), F.lit(0))
-        return F.when(many > 0, F.transform(F.sequence(F.lit(0), many - 1), lambda t: F.xxhash64("cluster", *((b, t.cast("long"), F.col("band"), own) if flip else (F.col("band"), own, b, t.cast("long")))))).otherwise(F.array().cast("array<bigint>"))
+        same = (F.col("team") > 0) & (F.pmod(kind, F.lit(teams)) == F.col("team"))
+        return F.when((many > 0) & ~same, F.transform(F.sequence(F.lit(0), many - 1), name)).otherwise(F.array().cast("array<bigint>"))
 
-    inside = F.transform(F.sequence(F.lit(0), F.try_element_at("blocks", F.col("band")) - 1), lambda t: F.xxhash64("cluster", F.col("band"), F.least(own, t.cast("long")), F.col("band"), F.greatest(own, t.cast("long"))))
-    tiles = F.when(F.col("blocks").isNull(), F.array(F.xxhash64("cluster"))).otherwise(F.concat(inside, across(F.col("band") + 1, False), across(F.col("band") - 1, True)))
-    return joined.select("doc_id", F.explode(tiles).alias("tile"))
+    base = F.col("kind") - F.col("team")
+    near = F.concat(*[with_blocks_of(base + step * teams + t) for step in (-1, 0, 1) for t in range(teams)])
+    tiles = F.when(F.col("blocks").isNull(), F.array(F.xxhash64("cluster"))).otherwise(near)
+    return joined.select("node", "team", F.explode(tiles).alias("tile"))
 
 
-def linked(ids: list[int], arrays: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect the sets of a tile as all links between them do."""
+def linked(ids: list[int], arrays: list[np.ndarray], percent: int, teams: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect the sets of a tile as all links between them do; sets of one team (above 0) are connected already."""
     order = np.argsort([len(a) for a in arrays], kind="stable")
     ids, arrays = [ids[i] for i in order], [arrays[i] for i in order]
+    team = np.zeros(len(ids), np.int64) if teams is None else np.array(teams, np.int64)[order]
     sizes = np.array([len(a) for a in arrays], np.int64)
     at = np.append(0, np.cumsum(sizes))
     bits = _bitmaps(np.concatenate(arrays), at)
-    group = np.arange(len(ids))
+    group = np.where(team > 0, len(ids) + team, np.arange(len(ids)))
     out = []
     for i in range(len(ids) - 1):
         end = int(np.searchsorted(sizes, 100 * sizes[i] // percent, "right"))
@@ -240,51 +275,96 @@ def linked(ids: list[int], arrays: list[np.ndarray], percent: int) -> list[tuple
     return out
 
 
-def _links(docs: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingles(docs: DataFrame, reps: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the members, as a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in V.chunks(batch.column("text")):
                 values, first = V.shingle_sets(data, at, width)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), V.list_column(values, first)], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *_keys_of(values, first), V.list_column(values, first)], ["doc_id", "n", "s1", "s2", "shingles"])
 
+    mine = written(reps.join(members.select(F.col("node").alias("class")), "class", "left_semi"), "jaccard-members-reps")
+    ids = mine.select(F.col("rep").alias("id")).distinct()
+    few = ids.count() <= BROADCAST_ROWS  # a larger list is joined by a shuffle
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    found = texts.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, shingles array<long>").select("doc_id", _node(), "shingles")
+    return written(_one_of_each(found, mine), "jaccard-shingles")
+
+
+def _teams(members: DataFrame, arrays: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members with their team, links with leaders).
+
+    A round holds the documents of large clusters that have no team yet against the least of them.
+    """
+    large = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK).select("cluster")
+    loose = written(members.join(large, "cluster", "left_semi"), "jaccard-loose")
+    links, placed = None, None
+    for team in range(1, LEADERS + 1):
+        if loose.isEmpty():
+            break
+        leaders = loose.groupBy("cluster").agg(F.min("node").alias("leader"), F.min_by("n", "node").alias("n_leader"))
+        theirs = leaders.join(arrays.withColumnRenamed("node", "leader"), "leader").withColumnRenamed("shingles", "held")
+        sizes = F.least("n", "n_leader") * 100 >= F.greatest("n", "n_leader") * percent
+        pairs = loose.join(theirs, "cluster").where(sizes).join(arrays, "node")
+        both = F.size(F.array_intersect("shingles", "held"))
+        met = written(pairs.where(100 * both >= percent * (F.col("n") + F.col("n_leader") - both)).select("node", "leader"), "jaccard-team")
+        found = met.select("node", F.lit(team).alias("team"))
+        placed = found if placed is None else placed.union(found)
+        edges = met.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        links = edges if links is None else links.union(edges)
+        loose = written(loose.join(met, "node", "left_anti"), "jaccard-loose")
+    if placed is None:
+        return members.withColumn("team", F.lit(0)), members.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    return written(members.join(placed, "node", "left").withColumn("team", F.coalesce("team", F.lit(0))), "jaccard-teams"), links
+
+
+def _links(docs: DataFrame, reps: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, arrays = None, [], []
+        now, ids, arrays, teams = None, [], [], []
 
         def close():
-            found = linked(ids, arrays, percent) if len(ids) > 1 else []
+            found = linked(ids, arrays, percent, teams) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
             column = batch.column("shingles")
-            for k, (tile, doc) in enumerate(zip(batch.column("tile").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
+            for k, (tile, doc, team) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "node", "team")), strict=True)):
                 if tile != now:
                     if len(ids) > 1:
                         yield close()
-                    now, ids, arrays = tile, [], []
+                    now, ids, arrays, teams = tile, [], [], []
                 ids.append(doc)
+                teams.append(team)
                 arrays.append(column[k].values.to_numpy().astype(np.int64).view(np.uint64))
         if len(ids) > 1:
             yield close()
 
-    spark = docs.sparkSession
-    ids = members.select(F.col("doc_id").alias("id"))
-    few = ids.count() <= BROADCAST_ROWS  # a larger list is joined by a shuffle
-    mine = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id")).select("doc_id", "text")
-    arrays = mine.mapInArrow(shingles, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"])
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = arrays.join(_tiles(members, percent), "doc_id").repartition(parts, "tile").sortWithinPartitions("tile")
-    return dealt.mapInArrow(tiles, "a long, b long")
+    arrays = _shingles(docs, reps, members, width)
+    placed, links = _teams(members, arrays, percent)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = arrays.join(_tiles(placed, percent), "node").repartition(parts, "tile").sortWithinPartitions("tile")
+    return links.union(dealt.mapInArrow(tiles, "a long, b long"))
 
 
-def join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
+def classes(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component, component_id) of every row; ``component`` is null for sets without a shingle."""
     sets = written(_sets(docs, percent, width), "jaccard-sets")
-    classes = written(sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-    known = _known(sets)
-    reps = written(_prefixes(docs, known, percent, width).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "jaccard-prefixes")
-    clusters = components(_candidates(reps, percent))
-    members = written(clusters.join(reps.select("doc_id", "n"), F.col("node") == F.col("doc_id")).select("doc_id", "n", F.col("component").alias("cluster")).dropDuplicates(["doc_id"]), "jaccard-members")
-    links = written(_links(docs, members, percent, width), "jaccard-links")
+    nodes = written(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-classes")
+    reps = nodes.select("rep", F.col("node").alias("class"))
+    first = written(_prefixes(docs, reps, _known(sets), percent, width), "jaccard-prefixes")
+    clusters = components(_candidates(first, percent))
+    members = written(clusters.join(nodes.select("node", "n"), "node").select("node", "n", F.col("component").alias("cluster")), "jaccard-members")
+    links = written(_links(docs, reps, members, percent, width), "jaccard-links")
     found = components(links)
-    named = written(classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id")), "jaccard-named")
-    return sets.drop("keys").join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = written(nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "jaccard-named")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "component").select("node", "component", "component_id")
+    with_set = sets.where("n > 0").drop("keys").join(named, "node").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component", "component_id")
+    without = sets.where("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return with_set.union(without)
+
+
+def join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
+    return classes(docs, percent, width).select("doc_id", "n_shingles", "component_id")
