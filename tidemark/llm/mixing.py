@@ -11,11 +11,14 @@ differs from its target by at most half of one document.
 The meetings form a reduction tree: groups of about ``FAN`` documents of a source
 are folded inside one task each, which leaves one undecided document a group, and
 these are grouped again, until one is left for a source.  A hot source is merely
-more groups.  Only DataFrame functions are used.
+more groups.  Rows that are alike (source, doc_id and text) are added up first: as many of
+them as their fractions fill are wholly in, one is left undecided for what remains, and
+that one goes to the meetings.  Only DataFrame functions are used.
 
 Defined cases: a null text or a text without words has size 0 and takes nothing;
-null is a source of its own and comes last; repeated rows are decided
-independently; an empty table gives an empty table; extra columns are ignored.
+null is a source of its own and comes last; repeated rows each get their row; rows that share a
+doc_id are told apart by a hash of their text; an empty table gives an empty table; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from .shared import written
 
 FAN = 64
 WORD = r"[^\x20\x09-\x0D]+"
-_DOC = "struct<doc_id:bigint,text_hash:bigint,size:bigint,mass:double>"
-_DONE = "array<struct<doc_id:bigint,text_hash:bigint,size:bigint,up:int>>"
+_KEYS = ("doc_id", "text_hash", "size", "many", "full")
+_FIELDS = ",".join(f"{k}:bigint" for k in _KEYS)
+_DOC = f"struct<{_FIELDS},mass:double>"
+_DONE = f"array<struct<{_FIELDS},up:int>>"
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -65,10 +70,10 @@ def _meet(seed: int):
     """One step of the fold: the undecided document ``now`` meets ``new``."""
 
     def settled(doc: Column, up: int) -> Column:
-        return F.array(F.struct(doc["doc_id"].alias("doc_id"), doc["text_hash"].alias("text_hash"), doc["size"].alias("size"), F.lit(up).alias("up")))
+        return F.array(F.struct(*[doc[k].alias(k) for k in _KEYS], F.lit(up).alias("up")))
 
     def holding(doc: Column, mass: Column) -> Column:
-        return F.struct(doc["doc_id"].alias("doc_id"), doc["text_hash"].alias("text_hash"), doc["size"].alias("size"), mass.alias("mass")).cast(_DOC)
+        return F.struct(*[doc[k].alias(k) for k in _KEYS], mass.alias("mass")).cast(_DOC)
 
     def step(state: Column, new: Column) -> Column:
         now = state["now"]
@@ -92,7 +97,7 @@ def _meet(seed: int):
 
 def _fold(docs: DataFrame, seed: int) -> DataFrame:
     start = F.struct(F.array().cast(_DONE).alias("done"), F.lit(None).cast(_DOC).alias("now"))
-    members = F.sort_array(F.collect_list(F.struct("doc_id", "text_hash", "size", "mass")))
+    members = F.sort_array(F.collect_list(F.struct(*_KEYS, "mass")))
     return docs.groupBy("source", "bucket", "buckets").agg(members.alias("members")).select("source", "bucket", "buckets", F.aggregate("members", start, _meet(seed)).alias("state")).select("source", "bucket", "buckets", "state.done", "state.now")
 
 
@@ -104,12 +109,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     targets = written(source_targets(sizes, weights, share, cap), "mix-targets")
     most = targets.agg(F.max("n_docs")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).select(sizes["*"], "n_docs", rate.alias("rate"))
-    joined = joined.withColumn("mass", (F.col("rate") - F.floor("rate")) * F.col("size"))
-    open_ = (F.col("mass") > 0) & (F.col("mass") < F.col("size"))
+    alike = sizes.groupBy("source", "doc_id", "text_hash", "size").agg(F.count(F.lit(1)).alias("many"))
+    joined = alike.join(targets, alike["source"].eqNullSafe(targets["source"])).select(alike["*"], "n_docs", rate.alias("rate"))
+    total = (F.col("rate") - F.floor("rate")) * F.col("size") * F.col("many")
+    joined = joined.withColumn("full", F.when(F.col("size") > 0, F.least(F.floor(total / F.col("size")), "many")).otherwise(0).cast("long"))
+    joined = joined.withColumn("mass", total - F.col("full") * F.col("size"))
+    open_ = (F.col("mass") > 0) & (F.col("mass") < F.col("size")) & (F.col("full") < F.col("many"))
     n_buckets = F.ceil(F.col("n_docs") / FAN)
     bucket = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), n_buckets)
-    level = _fold(joined.where(open_).select("source", "doc_id", "text_hash", "size", "mass", bucket.alias("bucket"), n_buckets.alias("buckets")), seed)
+    level = _fold(joined.where(open_).select("source", *_KEYS, "mass", bucket.alias("bucket"), n_buckets.alias("buckets")), seed)
     settled, buckets = [], -(-most // FAN)
     while True:
         level = written(level, "mix-level")
@@ -119,11 +127,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
             break
         buckets = -(-buckets // FAN)
         level = _fold(left.select("source", "now.*", F.floor(F.col("bucket") / FAN).alias("bucket"), F.ceil(F.col("buckets") / FAN).alias("buckets")), seed)
-    last = left.select("source", "now.doc_id", "now.text_hash", "now.size", (F.col("now.mass") * 2 >= F.col("now.size")).cast("int").alias("up"))
-    certain = joined.where(~open_).select("source", "doc_id", "text_hash", "size", (F.col("mass") >= F.col("size")).cast("int").alias("up"))
-    for part in settled:
-        certain = certain.unionByName(part)
-    rounded = certain.unionByName(last)
-    copies = F.when(F.col("size") > 0, F.floor("rate") + F.col("up")).otherwise(0).cast("int")
-    out = rounded.join(targets.withColumn("rate", rate), rounded["source"].eqNullSafe(targets["source"]))
+    last = left.select("source", *[f"now.{k}" for k in _KEYS], (F.col("now.mass") * 2 >= F.col("now.size")).cast("int").alias("up"))
+    rounded = joined.where(~open_).select("source", *_KEYS, (F.col("mass") >= F.col("size")).cast("int").alias("up"))
+    for part in [*settled, last]:
+        rounded = rounded.unionByName(part)
+    further = (F.col("number") <= F.col("full") + F.col("up")).cast("int")
+    copies = F.when(F.col("size") > 0, F.floor("rate") + further).otherwise(0).cast("int")
+    out = rounded.join(targets.withColumn("rate", rate), rounded["source"].eqNullSafe(targets["source"])).withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), "many")))
     return out.select("doc_id", "text_hash", rounded["source"], "size", "source_size", "target", copies.alias("copies"))
