@@ -16,7 +16,10 @@ MIN_SCORE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Rows that the quality rules keep, each as often as it is there.
+
+    A null or short text goes, whatever its other columns hold; a null doc_id, lang or source is no reason to go.
+    """
     judged = rules.judge(docs, keep=("text", "source", "n_chars")).withColumn("row", F.monotonically_increasing_id())
     # with a row number in it the condition stays above the projections; pushed below, it
     # would put every step of the signals into one expression and compute it again and again
@@ -24,29 +27,53 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: ``und`` goes, and so does what is surely not in the language it claims."""
+    """Rows with a language: ``und`` goes, and so does what is surely not in the language it claims.
+
+    A row without lang claims none and stays; repeated rows and rows without doc_id are judged like any other.
+    """
     found = language_id.identify(docs, keep=tuple(COLUMNS))
     other = F.coalesce(F.col("lang") != F.col("lang_pred"), F.lit(False)) & (F.col("score") >= MIN_SCORE)
     return found.where((F.col("lang_pred") != "und") & ~other).select(COLUMNS)
 
 
+def _rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (doc_id, text_hash) in ``chosen``, which tells how many ``rows`` are alike in that."""
+    known = chosen.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), *[c for c in chosen.columns if c not in ("doc_id", "text_hash")])
+    joined = docs.withColumn("text_hash", F.xxhash64("text")).join(known, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    if chosen.where("rows > 1").isEmpty():
+        return joined
+    # only rows that are there several times meet
+    return joined.where("rows = 1").unionByName(joined.where("rows > 1").dropDuplicates(["doc_id", "text_hash"]))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, that with the least doc_id."""
-    kept = written(jaccard_join.join(docs).where("component_id = doc_id").select("doc_id").distinct(), "pipeline-kept")
-    chosen = docs.join(kept, "doc_id", "left_semi")
-    return chosen.dropDuplicates(["doc_id"]).select(COLUMNS)
+    """One row of each component of near duplicates: that with the least doc_id, null being the last, and
+    of rows that share it the one whose text has the least hash.
+
+    Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, stay unless their
+    texts are near duplicates; of rows alike in both one stays.  Texts without a word link with nothing:
+    of those one stays for each doc_id.
+    """
+    found = jaccard_join.classes(docs)
+    alike = found.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "rows")
+    linked = alike.where("component is not null").groupBy("component").agg(F.min(place).alias("best")).select("best.doc_id", "best.text_hash", "best.rows")
+    kept = written(linked.union(alike.where("component is null").select("doc_id", "text_hash", "rows")), "pipeline-kept")
+    return _rows(docs, kept).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    mixed = mixing.mix(docs).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    rows = docs.withColumn("hash", F.xxhash64("text")).dropDuplicates(["doc_id", "hash"])
-    joined = rows.join(mixed.withColumnRenamed("doc_id", "id"), (F.col("doc_id") == F.col("id")) & (F.col("hash") == F.col("text_hash")))
+    """Every row as often as the mix takes it; rows alike in doc_id, text and source share their copies.
+
+    A row of which the mix takes nothing, such as one without words, goes.
+    """
+    mixed = mixing.mix(docs).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    joined = _rows(docs, written(mixed, "pipeline-mixed"))
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every row, and digests of its ids and of what they decode to."""
+    """Tokens of every row, and digests of its ids and of what they decode to; a null text counts as empty."""
     return bpe.encode_texts(docs, tokenizer_path(WORD_BPE), keep=("doc_id", "lang", "source"))
 
 
