@@ -5,9 +5,11 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from tidemark.functions import formats
 from tidemark.functions import scalars as S
-from tidemark.operators import emit, endpoints, shapes
+from tidemark.operators import emit, endpoints, model, shapes
 from tidemark.sources import exchanges as X
+from tidemark.sources import store
 from tidemark.streaming import ingest
 
 
@@ -64,7 +66,7 @@ def fold(values, path="$", out=None):
     for v in values:
         family = "null" if v is None else "boolean" if isinstance(v, bool) else "num" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "object" if isinstance(v, dict) else "array"
         n, whole, mask = out.get((path, family), (0, True, 31))
-        out[path, family] = (n + 1, whole and (family != "num" or float(v).is_integer()), mask & (shapes.format_bits(v) if family == "string" else 31))
+        out[path, family] = (n + 1, whole and (family != "num" or float(v).is_integer()), mask & (formats.bits(v) if family == "string" else 31))
         if family == "object":
             for k, x in v.items():
                 fold([x], f"{path}.{k}", out)
@@ -79,7 +81,7 @@ def test_nodes_match_a_fold_in_any_order(spark):
     rows = [("GET /x", 200, i, json.dumps(v)) for i, v in enumerate(values)] + [("GET /x", 200, 999, "{broken"), ("GET /x", 200, 1000, None)]
     r.shuffle(rows)
     df = spark.createDataFrame(rows, "endpoint string, status int, ord long, body string").repartition(5)
-    got = {(n["path"], n["family"]): (n["samples"], n["all_int"] in (None, True), 31 if n["fmt_mask"] is None else n["fmt_mask"]) for n in shapes.nodes(shapes.observations(df)).collect()}
+    got = {(n["path"], n["family"]): (n["samples"], n["all_int"] in (None, True), 31 if n["fmt_mask"] is None else n["fmt_mask"]) for n in shapes.nodes(shapes.observe(df)).collect()}
     assert got == fold(values)
 
 
@@ -90,7 +92,7 @@ def test_key_order_and_duplicates():
 def test_render(spark):
     bodies = [{"id": 1, "role": "admin", "last": None}, {"id": 2, "role": "user", "last": "x", "tags": []}, {"id": 3, "role": "admin"}, {"id": 4, "role": "user"}]
     df = spark.createDataFrame([("GET /x", 200, i, json.dumps(b)) for i, b in enumerate(bodies)], "endpoint string, status int, ord long, body string")
-    obs = shapes.observations(df)
+    obs = model.observed(shapes.observe(df))
     ts = emit.render(obs, "types").first()["content"]
     assert ts == '{\n  id: number;\n  role: "admin" | "user";\n  last?: string | null;\n  tags?: unknown[];\n}'
     schema = json.loads(emit.render(obs, "json-schema").first()["content"])
@@ -104,9 +106,10 @@ def test_recording_skips_corrupt_lines(spark, tmp_path):
     line = {"id": "ex-1", "startedAt": 5, "request": {"method": "GET", "url": "/a?b", "path": "/a"}, "response": {"status": 200, "headers": {}, "bodyJson": None, "durationMs": 1}}
     (folder / "exchanges.ndjson").write_text(json.dumps(line) + "\n\n{broken\n" + json.dumps(line | {"id": "ex-2"}) + "\n")
     (folder / "meta.json").write_text(json.dumps({"name": "demo", "target": "t", "createdAt": 1, "updatedAt": 2, "exchangeCount": 2}))
-    found = X.read_recording(spark, str(folder)).orderBy("ord").collect()
+    kept = store.Store(spark, str(tmp_path))
+    found = kept.load("demo").orderBy("ord").collect()
     assert [f["id"] for f in found] == ["ex-1", "ex-2"] and found[0]["req_json"] is None and found[0]["res_json"] == "null"
-    assert [r["name"] for r in X.recording_catalog(spark, str(tmp_path)).collect()] == ["demo"]
+    assert [r["name"] for r in kept.list().collect()] == ["demo"]
 
 
 def test_stream_matches_batch(spark, tmp_path):
@@ -116,9 +119,10 @@ def test_stream_matches_batch(spark, tmp_path):
         df.where(F.col("ord") % 2 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     q = ingest.keep_nodes(ingest.landed(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
-    last = spark.read.parquet(str(tmp_path / "out")).groupBy("endpoint", "path", "family").agg(F.max("samples").alias("n"))
-    batch = shapes.nodes(shapes.observations(X.with_endpoint(df).select("endpoint", "status", "ord", "body")))
-    assert {tuple(r) for r in last.collect()} == {tuple(r) for r in batch.select("endpoint", "path", "family", "samples").collect()}
+    latest = F.max_by(F.struct("samples", "first_ord", "first_pos"), "samples")
+    last = spark.read.parquet(str(tmp_path / "out")).groupBy("endpoint", "path", "family").agg(latest.alias("x")).select("endpoint", "path", "family", "x.*")
+    batch = shapes.nodes(shapes.observe(X.with_endpoint(df).select("endpoint", "status", "ord", "body")))
+    assert {tuple(r) for r in last.collect()} == {tuple(r) for r in batch.select("endpoint", "path", "family", "samples", "first_ord", "first_pos").collect()}
 
 
 def test_param_samples_are_first_ten(spark):

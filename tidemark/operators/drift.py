@@ -45,10 +45,10 @@ def status_drift(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def field_drift(a: DataFrame, b: DataFrame) -> DataFrame:
     """Fields of objects that both sides have: removed (breaking), added (info), optional (risky) or required (info).
-    ``a`` and ``b`` are observations; the evidence is the observed object's samples, or an added field's own."""
+    ``a`` and ``b`` are what ``shapes.observe`` saw; the evidence is the observed object's samples, or an added field's own."""
     on = ["endpoint", "status", "parent", "key"]
     x, y = (shapes.fields(d) for d in (a, b))
-    objects = [shapes.nodes(d.where("family = 'object'")).select("endpoint", "status", F.col("path").alias("parent"), F.col("samples").alias(n)) for d, n in ((a, "sa"), (b, "sb"))]
+    objects = [shapes.nodes(d).where("family = 'object'").select("endpoint", "status", F.col("path").alias("parent"), F.col("samples").alias(n)) for d, n in ((a, "sa"), (b, "sb"))]
     shared = objects[0].join(objects[1], on[:3])
     both = x.select(*on, F.col("optional").alias("oa")).join(y.select(*on, F.col("optional").alias("ob"), "seen"), on, "full_outer").join(shared, on[:3])
     place = F.concat_ws(".", "parent", "key")
@@ -109,10 +109,10 @@ def enum_drift(a: DataFrame, b: DataFrame) -> DataFrame:
     both = x.join(y, on)
     listed = lambda p, q: F.array_join(F.sort_array(F.array_except(p, q)), ",")
     d = both.select("*", listed("vb", "va").alias("more"), listed("va", "vb").alias("less"))
-    more = d.where("more <> ''").select(*finding("risky", "enum-changed", F.col("status"), F.col("path"), after=F.col("more"), samples=F.col("sb")))
-    less = d.where("less <> ''").select(*finding("info", "enum-changed", F.col("status"), F.col("path"), before=F.col("less"), samples=F.col("sb")))
+    more = d.where("more <> ''").select(*finding("risky", "enum-values-changed", F.col("status"), F.col("path"), after=F.col("more"), samples=F.col("sb")))
+    less = d.where("less <> ''").select(*finding("info", "enum-values-changed", F.col("status"), F.col("path"), before=F.col("less"), samples=F.col("sb")))
     strings = _types(b).where("type = 'string'").select(*on, "samples")
-    opened = x.join(y, on, "left_anti").join(strings, on).select(*finding("risky", "enum-opened", F.col("status"), F.col("path"), F.array_join(F.sort_array("va"), ","), samples=F.col("samples")))
+    opened = x.join(y, on, "left_anti").join(strings, on).select(*finding("risky", "enum-values-changed", F.col("status"), F.col("path"), F.array_join(F.sort_array("va"), ","), samples=F.col("samples")))
     return more.union(less).union(opened)
 
 

@@ -1,8 +1,11 @@
 """Shapes of JSON bodies by aggregation over generalized paths.
 
-A walker emits one row for each JSON node; merging shapes is then a set of aggregates that Spark computes
-partly in every task: counts, bool_and, bit_and, and minima of (ord, pos) for order of first sight.  The
-record and enum passes run on the aggregated nodes, whose number is that of distinct paths.
+A walker reads every body once and sends, for each Arrow batch, one row for each (place, kind of value): merging
+shapes is then a set of aggregates that Spark computes partly in every task: sums, bool_and, bit_and,
+and minima of (ord, pos) for order of first sight.  Values of strings ride along as long as they may still be a
+closed vocabulary, at most ``ENUM_MAX`` + 1 for a place and batch, so no body is read twice.
+
+A place is written as its steps after ``SEP``: ``.key``, ``[]`` or ``{}``; the root is empty.
 """
 
 from __future__ import annotations
@@ -10,62 +13,105 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-OBS = "endpoint string, status int, ord long, path string, parent string, key string, family string, is_int boolean, fmt_mask int, sval string, pos int"
+from ..functions import formats
+from ..tables import kept, spread
+
+SEP = "\x1f"
 ENUM_MAX, ENUM_MIN, RECORD_KEYS = 8, 4, 12
-TOKEN = r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,31}\z"
-_FORMATS = [
-    (1, re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")),
-    (2, re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})")),
-    (4, re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")),
-    (8, re.compile(r"[^\s\ufeff@]+@[^\s\ufeff@]+\.[^\s\ufeff@]+")),
-    (16, re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s\ufeff]+")),
-]
+SLOTS = ("response", "request", "query")
+OBS = "endpoint string, status int, ord long, path string, parent string, key string, family string, is_int boolean, fmt_mask int, sval string, pos int"
+VALUES = "array<struct<v:string,n:long,ord:long,pos:int>>"
+PARTS = (
+    "endpoint string, slot string, status int, path string, parent string, key string, depth int, family string, n long, all_int boolean, fmt_mask int, "
+    f"first_ord long, first_pos int, vals {VALUES}, open boolean"
+)
+SHAPE = ["endpoint", "slot", "status"]
+_TOKEN = re.compile(formats.TOKEN)
+_NUMBER = re.compile(r"-?[0-9]+(?:\.[0-9]+)?(?:e-?[0-9]+)?")
+
+
+def number_text(x: float) -> str:
+    """A finite number as scripts print it: shortest digits, plain from 1e-6 up to 1e21."""
+    if x == 0:
+        return "0"
+    sign, digits, exponent = Decimal(repr(x)).normalize().as_tuple()
+    d, point = "".join(map(str, digits)), len(digits) + exponent
+    if 0 < point <= 21:
+        text = d.ljust(point, "0") if point >= len(d) else f"{d[:point]}.{d[point:]}"
+    elif -6 < point <= 0:
+        text = "0." + "0" * -point + d
+    else:
+        text = f"{d[0]}{'.' if len(d) > 1 else ''}{d[1:]}e{point - 1:+d}"
+    return "-" * sign + text
+
+
+def is_numeric_text(value: str) -> bool:
+    """Whether a token is the canonical writing of a number."""
+    return bool(_NUMBER.fullmatch(value)) and abs(float(value)) < float("inf") and number_text(float(value)) == value
+
+
+def _ordered(found: dict) -> list[tuple]:
+    """Keys in order of first sight, the index-like first by number (of equal keys the last value is there already)."""
+    index = [k for k in found if k.isascii() and k.isdigit() and (k == "0" or k[0] != "0") and int(k) < 2**32 - 1]
+    if not index:
+        return list(found.items())
+    return [(k, found[k]) for k in sorted(index, key=int)] + [(k, v) for k, v in found.items() if k not in set(index)]
+
+
+def _constant(name: str):
+    raise ValueError(f"{name} is no JSON")
 
 
-def format_bits(value: str) -> int:
-    return sum(bit for bit, pattern in _FORMATS if pattern.fullmatch(value))
+_parse = json.JSONDecoder(parse_constant=_constant).decode
 
 
-def _ordered(pairs: list) -> list:
-    """Keys in order of first sight with the last of equal keys' values; index-like keys come first."""
-    last = dict(pairs)
-    index = sorted((k for k in last if k.isascii() and k.isdigit() and (k == "0" or k[0] != "0") and int(k) < 2**32 - 1), key=int)
-    return [(k, last[k]) for k in index] + [(k, v) for k, v in last.items() if k not in set(index)]
+def parse(text: str):
+    """A JSON text's value; ValueError where it has none."""
+    try:
+        return _parse(text)
+    except RecursionError as error:
+        raise ValueError("nested too deeply") from error
 
 
-class _Object(list):
-    pass
+def _clean(text: str) -> str:
+    """Without lone surrogates, which Arrow can't hold."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
 def walk(text: str) -> list[tuple]:
-    """(path, parent, key, family, is_int, fmt_mask, sval, pos) of every node, parents first."""
+    """(path, parent, key, family, is_int, fmt_mask, sval, pos) of every node, parents first; ``$`` is the root."""
     out: list[tuple] = []
-    todo = [("$", None, None, json.loads(text, object_pairs_hook=lambda p: _Object(_ordered(p))))]
+    todo: list[tuple] = [("$", None, None, parse(text))]
     while todo:
         path, parent, key, value = todo.pop()
-        whole, mask, text_value, inner = None, None, None, []
-        if value is None:
-            family = "null"
-        elif isinstance(value, bool):
-            family = "boolean"
-        elif isinstance(value, (int, float)):
-            family, whole = "num", float(value).is_integer()
-        elif isinstance(value, str):
-            family, mask, text_value = "string", format_bits(value), value
-        elif isinstance(value, _Object):
-            family, inner = "object", [(f"{path}.{k}", path, k, v) for k, v in value]
-        else:
-            family, inner = "array", [(f"{path}[]", path, None, v) for v in value]
-        out.append((path, parent, key, family, whole, mask, text_value, len(out)))
+        family, whole, mask = family_of(value)
+        inner = [(f"{path}.{k}", path, k, v) for k, v in _ordered(value)] if family == "object" else [(f"{path}[]", path, None, v) for v in value] if family == "array" else []
+        out.append((path, parent, key, family, whole, mask, value if family == "string" else None, len(out)))
         todo.extend(reversed(inner))
     return out
 
 
+def family_of(value) -> tuple[str, bool | None, int | None]:
+    """Kind of a value; of a number whether it is whole, of a string its formats."""
+    if isinstance(value, str):
+        return "string", None, formats.bits(value)
+    if isinstance(value, bool):
+        return "boolean", None, None
+    if isinstance(value, int):
+        return "num", True, None
+    if isinstance(value, float):
+        return "num", value.is_integer(), None
+    if value is None:
+        return "null", None, None
+    return ("object" if isinstance(value, dict) else "array"), None, None
+
+
 def observations(bodies: DataFrame) -> DataFrame:
     """A row for each JSON node of ``bodies`` (endpoint, status, ord, body); bodies that don't parse have none."""
     names = [x.split()[0] for x in OBS.split(", ")]
@@ -85,57 +131,183 @@ def observations(bodies: DataFrame) -> DataFrame:
                 columns = zip(*rows, strict=True) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return bodies.select("endpoint", F.col("status").cast("int"), F.col("ord").cast("long"), "body").mapInArrow(run, OBS)
+    return spread(bodies.select("endpoint", F.col("status").cast("int"), F.col("ord").cast("long"), "body")).mapInArrow(run, OBS)
+
+
+class _Place:
+    """One place of a shape in a batch, with what was seen there by kind of value."""
+
+    __slots__ = ("depth", "inner", "key", "parent", "path", "seen")
+
+    def __init__(self, path: str, parent: str | None, key: str | None, depth: int):
+        self.path, self.parent, self.key, self.depth = path, parent, key, depth
+        self.inner: dict[str | None, _Place] = {}
+        self.seen: dict[str, list] = {}
+
+    def child(self, key: str | None) -> _Place:
+        found = self.inner.get(key)
+        if found is None:
+            step = "[]" if key is None else "." + _clean(key).replace(SEP, "\\u001f")
+            found = self.inner[key] = _Place(self.path + SEP + step, self.path, None if key is None else step[1:], self.depth + 1)
+        return found
+
+    def take(self, value, ord_: int) -> None:
+        """Adds a body's nodes."""
+        todo, pos = [(self, value)], 0
+        while todo:
+            at, value = todo.pop()
+            family, whole, mask = family_of(value)
+            now = at.seen.get(family)
+            if now is None:
+                now = at.seen[family] = [0, True, -1, ord_, pos, {} if family == "string" else None]
+            now[0] += 1
+            if ord_ < now[3]:
+                now[3], now[4] = ord_, pos
+            if family == "num":
+                now[1] = now[1] and whole
+            elif family == "string":
+                now[2] &= mask
+                values = now[5]
+                if values is not None:
+                    known = values.get(value)
+                    if known is not None:
+                        known[0] += 1
+                        if ord_ < known[1]:
+                            known[1:] = ord_, pos
+                    elif len(values) <= ENUM_MAX and _TOKEN.fullmatch(value) and not is_numeric_text(value):
+                        values[value] = [1, ord_, pos]
+                    else:
+                        now[5] = None
+            elif family == "object":
+                todo.extend([(at.child(k), v) for k, v in reversed(_ordered(value))])
+            elif family == "array":
+                inner = at.child(None) if value else None
+                todo.extend([(inner, v) for v in reversed(value)])
+            pos += 1
+
+    def rows(self) -> Iterator[tuple]:
+        todo = [self]
+        while todo:
+            at = todo.pop()
+            for family, (n, whole, mask, ord_, pos, values) in at.seen.items():
+                listed = [{"v": v, "n": k, "ord": o, "pos": p} for v, (k, o, p) in values.items()] if values is not None else None
+                yield at.path, at.parent, at.key, at.depth, family, n, whole if family == "num" else None, mask if family == "string" else None, ord_, pos, listed, family == "string" and values is None
+            todo.extend(at.inner.values())
+
+
+def walked(bodies: DataFrame) -> DataFrame:
+    """Partly aggregated places of ``bodies`` (endpoint, status, ord, body, and slot where not all are responses)."""
+    names = ["endpoint", "slot", "status", "path", "parent", "key", "depth", "family", "n", "all_int", "fmt_mask", "first_ord", "first_pos", "vals", "open"]
+    value = pa.struct([("v", pa.string()), ("n", pa.int64()), ("ord", pa.int64()), ("pos", pa.int32())])
+    text, whole, short, yes = pa.string(), pa.int64(), pa.int32(), pa.bool_()
+    kinds = [text, text, short, text, text, text, short, text, whole, yes, short, whole, short, pa.list_(value), yes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots: dict[tuple, _Place] = {}
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                for endpoint, slot, status, ord_, body in zip(*(part.column(c).to_pylist() for c in ("endpoint", "slot", "status", "ord", "body")), strict=True):
+                    if body is None:
+                        continue
+                    try:
+                        found = parse(body)
+                    except ValueError:
+                        continue
+                    root = roots.get((endpoint, slot, status))
+                    if root is None:
+                        root = roots[endpoint, slot, status] = _Place("", None, None, 0)
+                    root.take(found, ord_)
+            rows = [(*key, *row) for key, root in roots.items() for row in root.rows()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    slot = F.col("slot") if "slot" in bodies.columns else F.lit(SLOTS[0])
+    status = F.coalesce(F.col("status").cast("int"), F.lit(-1))
+    return spread(bodies.select("endpoint", slot.alias("slot"), status.alias("status"), F.col("ord").cast("long"), "body")).mapInArrow(run, PARTS)
+
+
+def observe(bodies: DataFrame) -> DataFrame:
+    """``walked``, written once: all that is asked of shapes is computed from this small table."""
+    return kept(walked(bodies))
+
 
+def shown(path: Column) -> Column:
+    """A place as a path from ``$``."""
+    return F.concat(F.lit("$"), F.replace(path, F.lit(SEP), F.lit("")))
 
-def nodes(obs: DataFrame) -> DataFrame:
-    """A row for each (endpoint, status, path, family)."""
-    seen = F.min(F.struct("ord", "pos"))
-    return obs.groupBy("endpoint", "status", "path", "family").agg(
-        F.count(F.lit(1)).alias("samples"), F.bool_and("is_int").alias("all_int"), F.bit_and("fmt_mask").alias("fmt_mask"), seen["ord"].alias("first_ord"), seen["pos"].alias("first_pos"),
-    )
 
+def places(parts: DataFrame) -> DataFrame:
+    """A row for each (shape, place, kind of value), with ``first``, when it was first seen."""
+    on = [*SHAPE, "path", "parent", "key", "depth", "family"]
+    seen = F.min(F.struct(F.col("first_ord").alias("ord"), F.col("first_pos").alias("pos")))
+    return parts.groupBy(*on).agg(F.sum("n").alias("samples"), F.bool_and("all_int").alias("all_int"), F.bit_and("fmt_mask").alias("fmt_mask"), seen.alias("first"))
 
-def fields(obs: DataFrame) -> DataFrame:
-    """A row for each object field: seen, its object's samples, and whether it is optional."""
-    seen = obs.where("key is not null").groupBy("endpoint", "status", "parent", "key").agg(F.count(F.lit(1)).alias("seen"))
-    objects = nodes(obs.where("family = 'object'")).select("endpoint", "status", F.col("path").alias("parent"), "samples")
-    return seen.join(objects, ["endpoint", "status", "parent"]).withColumn("optional", F.col("seen") < F.col("samples"))
 
+def nodes(parts: DataFrame) -> DataFrame:
+    """A row for each (endpoint, status, path, family) of responses."""
+    found = places(parts.where("slot = 'response'"))
+    return found.select("endpoint", "status", shown(F.col("path")).alias("path"), "family", "samples", "all_int", "fmt_mask", F.col("first.ord").alias("first_ord"), F.col("first.pos").alias("first_pos"))
 
-def unions(obs: DataFrame) -> DataFrame:
-    """Paths with several families; null among them means nullable."""
-    n = nodes(obs)
+
+def fields(parts: DataFrame) -> DataFrame:
+    """A row for each object field of responses: seen, its object's samples, and whether it is optional."""
+    parts = parts.where("slot = 'response'")
+    seen = parts.where("key is not null").groupBy("endpoint", "status", "parent", "key").agg(F.sum("n").alias("seen"))
+    objects = parts.where("family = 'object'").groupBy("endpoint", "status", F.col("path").alias("parent")).agg(F.sum("n").alias("samples"))
+    joined = seen.join(objects, ["endpoint", "status", "parent"]).withColumn("optional", F.col("seen") < F.col("samples"))
+    return joined.withColumn("parent", shown(F.col("parent")))
+
+
+def unions(parts: DataFrame) -> DataFrame:
+    """Paths with their families; null among them means nullable."""
+    n = nodes(parts)
     return n.groupBy("endpoint", "status", "path").agg(F.array_join(F.sort_array(F.collect_set("family")), "|").alias("families"), F.count(F.lit(1)).alias("k"), F.bool_or(F.col("family") == "null").alias("nullable"))
 
 
-def enums(obs: DataFrame, most: int = ENUM_MAX, least: int = ENUM_MIN) -> DataFrame:
-    """String paths that are closed vocabularies, with their values in order of first sight.
+def ancestors(path: Column) -> Column:
+    """A place and all that are above it."""
+    steps = F.split(path, SEP)
+    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), SEP))
 
-    Distinct values are counted first, so a path's values are at most ``most`` + 1 in any list.
+
+def vocabularies(parts: DataFrame, variants: DataFrame, most: int = ENUM_MAX, least: int = ENUM_MIN) -> DataFrame:
+    """String places that are closed vocabularies: samples and ``values`` in order of first sight.
+
+    ``parts`` holds values under the places' final names; ``variants`` (a row for each place and kind) says where unions
+    are, at or below which there are no vocabularies.  Distinct values are counted first, and only places with
+    at most ``most`` of them list any.
     """
-    from ..functions.scalars import is_match, is_numeric_data
-
-    alone = nodes(obs).groupBy("endpoint", "status", "path").agg(F.count(F.lit(1)).alias("k")).where("k = 1").drop("k")
-    values = obs.where("family = 'string'").groupBy("endpoint", "status", "path", "sval").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "pos")).alias("first"), F.bit_and("fmt_mask").alias("mask"))
-    token = is_match(F.col("sval"), TOKEN) & ~is_numeric_data(F.col("sval"))
-    fit = values.groupBy("endpoint", "status", "path").agg(F.sum("n").alias("samples"), F.count(F.lit(1)).alias("n_values"), F.bool_and(token).alias("tokens"), F.bit_and("mask").alias("mask"))
-    fit = fit.where((F.col("samples") >= least) & F.col("tokens") & (F.col("mask") == 0) & (F.col("n_values") <= most) & (F.col("n_values") <= F.ceil(F.col("samples") / 2)))
-    fit = fit.join(alone, ["endpoint", "status", "path"], "left_semi")
-    listed = values.join(fit.select("endpoint", "status", "path", "samples"), ["endpoint", "status", "path"])
-    return listed.groupBy("endpoint", "status", "path", "samples").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "sval"))), lambda x: x["sval"]), ",").alias("values"))
-
-
-def records(obs: DataFrame, least: int = RECORD_KEYS) -> DataFrame:
-    """Objects that are dictionaries: at least ``least`` keys, all with one shape of scalars."""
-    n = nodes(obs)
-    shape = n.groupBy("endpoint", "status", "path").agg(F.sort_array(F.collect_set(F.struct("family", "all_int", "fmt_mask"))).alias("shape"))
-    keyed = fields(obs).withColumn("path", F.concat_ws(".", "parent", "key")).join(shape, ["endpoint", "status", "path"])
-    scalar = F.forall("shape", lambda s: ~s["family"].isin("object", "array"))
-    return keyed.groupBy("endpoint", "status", "parent").agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("shape").alias("shapes"), F.bool_and(scalar).alias("scalar")).where((F.col("keys") >= least) & (F.col("shapes") == 1) & F.col("scalar")).select("endpoint", "status", F.col("parent").alias("path"), "keys")
-
-
-def first_seen_order(obs: DataFrame) -> DataFrame:
-    """Fields of each object numbered in order of first sight."""
-    f = obs.where("key is not null").groupBy("endpoint", "status", "parent", "key").agg(F.min(F.struct("ord", "pos")).alias("first"))
-    return f.withColumn("place", F.row_number().over(Window.partitionBy("endpoint", "status", "parent").orderBy("first"))).drop("first")
+    on = [*SHAPE, "path"]
+    strings = parts.where("family = 'string'")
+    values = strings.where("not open").select(*on, F.explode("vals").alias("x")).groupBy(*on, F.col("x.v").alias("v")).agg(F.sum("x.n").alias("n"), F.min(F.struct("x.ord", "x.pos")).alias("first"))
+    closed = strings.groupBy(*on).agg(F.bool_or("open").alias("open")).where("not open").drop("open")
+    fit = values.groupBy(*on).agg(F.sum("n").alias("samples"), F.count(F.lit(1)).alias("k"))
+    fit = fit.where((F.col("samples") >= least) & (F.col("k") <= most) & (F.col("k") <= F.ceil(F.col("samples") / 2))).drop("k")
+    plain = variants.where("family = 'string' and fmt_mask = 0").select(*on)
+    fit = fit.join(closed, on, "left_semi").join(plain, on, "left_semi")
+    unions = variants.groupBy(*on).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*SHAPE, F.col("path").alias("above"))
+    barred = fit.select(*on, F.explode(ancestors(F.col("path"))).alias("above")).join(unions, [*SHAPE, "above"], "left_semi").select(*on).distinct()
+    listed = values.join(fit.join(barred, on, "left_anti"), on)
+    return listed.groupBy(*on, "samples").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "v"))), lambda x: x["v"]).alias("values"))
+
+
+def enums(parts: DataFrame, most: int = ENUM_MAX, least: int = ENUM_MIN) -> DataFrame:
+    """``vocabularies`` of responses as they are before dictionaries are collapsed, values joined by commas."""
+    found = vocabularies(parts.where("slot = 'response'"), places(parts.where("slot = 'response'")), most, least)
+    return found.select("endpoint", "status", shown(F.col("path")).alias("path"), "samples", F.array_join("values", ",").alias("values"))
+
+
+def records(parts: DataFrame, least: int = RECORD_KEYS) -> DataFrame:
+    """Objects of responses that are dictionaries: at least ``least`` keys, all with equal shapes."""
+    from .model import dictionaries
+
+    found = dictionaries(places(parts.where("slot = 'response'")), least)
+    return found.select("endpoint", "status", shown(F.col("path")).alias("path"), F.col("n_keys").alias("keys"))
+
+
+def first_seen_order(parts: DataFrame) -> DataFrame:
+    """Fields of each object of responses numbered in order of first sight."""
+    keyed = parts.where("key is not null and slot = 'response'")
+    f = keyed.groupBy("endpoint", "status", "parent", "key").agg(F.min(F.struct("first_ord", "first_pos")).alias("first"))
+    return f.withColumn("place", F.row_number().over(Window.partitionBy("endpoint", "status", "parent").orderBy("first"))).drop("first").withColumn("parent", shown(F.col("parent")))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import drift, emit, endpoints, shapes
+from ..operators import claims, diff, drift, emit, endpoints, model, reports, shapes
+from ..sources import demo, store
 from ..sources import exchanges as X
-from ..tables import kept
+from ..tables import kept, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,29 +26,54 @@ def _exe(s: SparkSession, d: str) -> DataFrame:
 
 
 def _obs(s: SparkSession, d: str) -> DataFrame:
-    return shapes.observations(_exe(s, d).select("endpoint", "status", "ord", "body"))
+    return shapes.observe(_exe(s, d).select("endpoint", "status", "ord", "body"))
+
+
+def _variants(s: SparkSession, d: str) -> DataFrame:
+    return model.observed(_obs(s, d))
 
 
 def _sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The month's first half, and the second with an altered API."""
+    """The month's first half, and the second with an altered API, so that every rule has a case."""
     x = X.events_as_exchanges(s, d)
     cut = F.lit("2024-01-16").cast("timestamp_ntz")
-    body = F.replace(F.replace("body", F.lit(',"mail":"u'), F.lit(',"email":"u')), F.lit('"type":"view"'), F.lit('"type":"peek"'))
-    n = F.col("ord").cast("string")
-    body = F.replace(body, F.concat(F.lit('{"id":'), n, F.lit(",")), F.concat(F.lit('{"id":"'), n, F.lit('",')))
-    b = x.where(F.col("ts") >= cut).withColumns({"body": body, "status": F.when(F.col("status") == 500, 503).otherwise(F.col("status")), "method": F.when(F.col("method") == "PUT", "PATCH").otherwise(F.col("method"))})
+    n, user = F.col("ord").cast("string"), F.col("user_id").cast("string")
+    swaps = [
+        (F.lit(',"mail":"u'), F.lit(',"email":"u')), (F.lit('"type":"view"'), F.lit('"type":"peek"')), (F.lit('"at":"2024-01-05"'), F.lit('"at":"2024-01-05T11:00:00Z"')),
+        (F.concat(F.lit('{"id":'), n, F.lit(",")), F.concat(F.lit('{"id":"'), n, F.lit('",'))), (F.concat(F.lit(',"value":"'), user, F.lit('"')), F.lit(',"value":true')),
+    ]
+    body = F.col("body")
+    for old, new in swaps:
+        body = F.replace(body, old, new)
+    body = F.when(F.col("ord") % 6 == 0, F.regexp_replace(body, ',"props":.*$', ',"props":null}')).otherwise(body)
+    view, click, error = (F.contains("path", F.lit("/views/")), F.contains("path", F.lit("/clicks/")), F.col("status") >= 400)
+    b = x.where(F.col("ts") >= cut).withColumns(
+        {
+            "body": F.when(F.col("status") != 404, body), "status": F.when(F.col("status") == 500, 503).otherwise(F.col("status")), "method": F.when(F.col("method") == "PUT", "PATCH").otherwise(F.col("method")),
+            "req_body": F.when(error, '{"x":1}').when(F.col("method") != "POST", F.col("req_body")), "url": F.when(view, F.col("path")).when(click, F.concat("path", F.lit("?ref=x"))).otherwise(F.col("url")),
+            "path": F.replace("path", F.lit("/clicks/"), F.lit("/clicks/click-0000000000000000")),
+        }
+    )
     return X.with_endpoint(x.where(F.col("ts") < cut)), X.with_endpoint(b)
 
 
 def _side_obs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(shapes.observations(x.select("endpoint", "status", "ord", "body")) for x in _sides(s, d))
+    return tuple(shapes.observe(x.select("endpoint", "status", "ord", "body")) for x in _sides(s, d))
+
+
+def _side_models(s: SparkSession, d: str) -> tuple[model.Model, model.Model]:
+    return tuple(model.build(kept(x), name) for x, name in zip(_sides(s, d), ("first half", "second half"), strict=True))
 
 
 def scan_skip_corrupt(s: SparkSession, d: str) -> DataFrame:
+    """A log of exchanges, a thirteenth of its lines cut short and a seventeenth blank, is written and scanned."""
     o = F.col("ord")
-    line = F.when(o % 13 == 0, F.substring("body", F.lit(1), F.length("body") - 1)).when(o % 17 == 0, "  ").otherwise(F.concat(F.lit("  "), F.col("body"), F.lit(" ")))
-    x = X.events_as_exchanges(s, d).select("status", F.trim(line).alias("line"))
-    return x.groupBy("status").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line") == "").alias("n_blank"), F.count_if((F.col("line") != "") & F.try_parse_json("line").isNotNull()).alias("n_kept"))
+    line = F.concat(F.lit('{"id":"e'), o.cast("string"), F.lit('","request":{"method":"GET","path":"/x","query":{}},"response":{"status":'), F.col("status").cast("string"), F.lit(',"headers":{},"bodyJson":'), "body", F.lit("}}"))
+    line = F.when(o % 13 == 0, F.substring(line, F.lit(1), F.length(line) - 1)).when(o % 17 == 0, "  \t").otherwise(F.concat(F.lit(" \t "), line, F.lit(" ")))
+    path = f"{shared_folder(s)}/log-{uuid.uuid4().hex}"
+    X.events_as_exchanges(s, d).select(line.alias("value")).write.text(path)
+    found = store.exchanges_of(store.read_lines(s, path))
+    return found.groupBy("status").agg(F.count(F.lit(1)).alias("n_kept"), F.count("res_json").alias("n_bodies"), F.count_distinct("ord").alias("n_places"))
 
 
 def redact_headers(s: SparkSession, d: str) -> DataFrame:
@@ -97,8 +124,17 @@ def record_bodies(s: SparkSession, d: str) -> DataFrame:
 
 
 def record_detection(s: SparkSession, d: str) -> DataFrame:
-    # the root itself has a key for each nation, of differing shapes
-    return shapes.records(shapes.observations(record_bodies(s, d))).where("path <> '$'")
+    """Dictionaries: each even nation's object.  The root, which has a key for each nation, is none: odd nations' shapes differ."""
+    return shapes.records(shapes.observe(record_bodies(s, d)))
+
+
+def collapsed_shapes(s: SparkSession, d: str) -> DataFrame:
+    """The places left when dictionaries of objects are collapsed: all priorities' orders of one key space."""
+    o = X.table(s, d, "orders").select(F.lit("GET /orders").alias("endpoint"), F.lit(200).alias("status"), (F.col("o_orderkey") % 40).cast("long").alias("k"), "o_orderkey", "o_orderstatus")
+    entry = F.concat(F.lit('"o'), F.col("o_orderkey").cast("string"), F.lit('":{"status":"'), "o_orderstatus", F.lit('","lines":['), (F.col("o_orderkey") % 7).cast("string"), F.lit("]}"))
+    bodies = o.groupBy("endpoint", "status", F.col("k").alias("ord")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("body"))
+    found = model.observed(shapes.observe(bodies))
+    return found.select(shapes.shown(F.col("path")).alias("path"), "kind", "type", F.array_join(F.sort_array("enum"), ",").alias("vals"))
 
 
 def drift_endpoints(s: SparkSession, d: str) -> DataFrame:
@@ -112,10 +148,95 @@ def drift_unions(s: SparkSession, d: str) -> DataFrame:
     return a.join(b, on, "full_outer").where("n_a is null or n_b is null")
 
 
+def drift_findings(s: SparkSession, d: str) -> DataFrame:
+    """The whole report's findings, requests, queries, bodies and union variants among them."""
+    return diff.findings(*_side_models(s, d)).select("severity", "kind", "endpoint", "status", "path", "b_samples")
+
+
+def drift_texts(s: SparkSession, d: str) -> DataFrame:
+    """The report in order, with what each place was and is and a sentence."""
+    return diff.in_order(diff.findings(*_side_models(s, d))).drop("seq")
+
+
+def drift_counters(s: SparkSession, d: str) -> DataFrame:
+    a, b = _side_models(s, d)
+    return diff.summary(a, b, diff.findings(a, b, ignore_unmatched=True)).select("endpoints_compared", "endpoints_only_in_a", "endpoints_only_in_b")
+
+
+def low_confidence(s: SparkSession, d: str) -> DataFrame:
+    """Findings behind which there are few samples, by kind."""
+    a, b = (model.build(demo.exchanges(s, v), f"v{v}") for v in (1, 2))
+    return diff.findings(a, b).groupBy("severity", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(diff.low_confidence(F.col("b_samples"))).alias("n_low"))
+
+
+def report_document(how: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        a, b = _side_models(s, d)
+        found = diff.findings(a, b)
+        return reports.plain(a, b, found) if how == "text" else reports.markdown(a, b, found, how)
+
+    return run
+
+
+def claim_entries() -> list[dict]:
+    """What a client believes of the events' API; one claim can't be audited."""
+    user = {"type": "object", "required": ["id", "type", "tags", "seen"], "properties": {"id": {"type": "integer"}, "type": {"enum": ["view", "click"]}, "tags": {"type": "array", "items": {"type": "string"}}, "seen": {"type": "string"}, "value": {}}}
+    return [
+        {"method": "get", "pattern": "/api/users/:userId/views/:viewId", "response": user}, {"method": "GET", "pattern": "/api/users/:userId/views/:viewId", "status": 304},
+        {"method": "POST", "pattern": "/api/users/:userId", "status": 201, "response": {"type": "array"}, "request": {"type": "object", "properties": {}}},
+        {"method": "GET", "pattern": "/api/users/:userId/clicks/:clickId", "response": {"type": "object", "properties": {"at": False}}},
+    ]
+
+
+def claims_drift(s: SparkSession, d: str) -> DataFrame:
+    """Claims against what is observed; endpoints without claims are no findings."""
+    claimed = claims.extract(s, claim_entries())
+    found = diff.findings(claimed.model, model.build(kept(_exe(s, d)), "observed"), ignore_unmatched=True)
+    return found.select("severity", "kind", "endpoint", "status", "path")
+
+
+def claims_refused(s: SparkSession, d: str) -> DataFrame:
+    return claims.extract(s, claim_entries()).not_auditable
+
+
+def api_model(s: SparkSession, d: str) -> DataFrame:
+    """Endpoints with their parameters, request, query and responses joined: a row for each response."""
+    m = model.build(kept(_exe(s, d)), "events")
+    places = m.variants.groupBy("endpoint", "slot", "status").agg(F.count_distinct("path").alias("n"))
+    slot = lambda name: places.where(F.col("slot") == name)
+    params = m.params.groupBy("endpoint").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "name", "format"))), lambda p: F.concat_ws(":", p["name"], p["format"])), ",").alias("params"))
+    d = m.responses.join(m.endpoints, "endpoint").join(params, "endpoint", "left").join(slot("response").select("endpoint", "status", F.col("n").alias("body_places")), ["endpoint", "status"], "left")
+    d = d.join(slot("request").select("endpoint", F.col("n").alias("request_places")), "endpoint", "left").join(slot("query").select("endpoint", F.col("n").alias("query_places")), "endpoint", "left")
+    return d.select("endpoint", "status", F.col("count").alias("n"), "content_type", "operation_id", "params", "body_places", "request_places", "query_places")
+
+
+def request_samples(s: SparkSession, d: str) -> DataFrame:
+    """The last request body of each endpoint."""
+    x = _exe(s, d)
+    return endpoints.latest_sample(x.drop("body").withColumnRenamed("req_body", "body")).select("endpoint", "status", "sample")
+
+
+def generated(target: str) -> Query:
+    return lambda s, d: emit.files(model.build(kept(_exe(s, d)), "events", "http://localhost"), [target], fixtures=target == "msw")
+
+
+def recording_catalog(s: SparkSession, d: str) -> DataFrame:
+    """Recordings of the first three days of events, written to a store and listed."""
+    found = store.Store(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}")
+    x = X.events_as_exchanges(s, d).where("to_date(ts) <= date'2024-01-03'").withColumn("day", F.dayofmonth("ts"))
+    none = F.lit(None)
+    columns = {"id": F.concat(F.lit("e"), F.col("ord").cast("string")), "started_at": F.col("ord"), "query": F.create_map().cast("map<string,array<string>>"), "req_headers": F.create_map().cast("map<string,string>"), "req_text": none.cast("string"), "req_json": F.col("req_body")}
+    columns |= {"res_headers": F.create_map(F.lit("content-type"), F.col("content_type")), "res_text": none.cast("string"), "res_json": F.col("body"), "duration_ms": F.lit(1).cast("long")}
+    for day in (1, 2, 3):
+        found.init(f"day-{day}", "http://events")
+        found.append(f"day-{day}", x.where(F.col("day") == day).withColumns(columns), "all")
+    return found.list().select("name", "target", F.col("exchangeCount").alias("n"))
+
+
 def report(s: SparkSession, d: str) -> DataFrame:
     # every rule reads both sides: normalize paths and parse bodies once
     a, b = (kept(x.select("endpoint", "status", "ord", "params", "body")) for x in _sides(s, d))
-    return drift.report(a, b, *(kept(shapes.observations(x)) for x in (a, b)))
+    return drift.report(a, b, *(shapes.observe(x) for x in (a, b)))
 
 
 def array_elements(s: SparkSession, d: str) -> DataFrame:
@@ -156,7 +277,7 @@ QUERIES: dict[str, Query] = {
     "success_status": lambda s, d: endpoints.success_status(_exe(s, d)),
     "gen_summary": lambda s, d: endpoints.gen_summary(_exe(s, d)),
     "endpoints_sorted": lambda s, d: _exp(s, d).select("pattern", "method").distinct().orderBy("pattern", "method"),
-    "infer_json_nodes": lambda s, d: _obs(s, d).groupBy("ord", "path", "family").agg(F.count(F.lit(1)).alias("n")),
+    "infer_json_nodes": lambda s, d: shapes.observations(_exe(s, d).select("endpoint", "status", "ord", "body")).groupBy("ord", "path", "family").agg(F.count(F.lit(1)).alias("n")),
     "shape_nodes": lambda s, d: shapes.nodes(_obs(s, d)).drop("first_ord", "first_pos"),
     "numeric_widening": lambda s, d: shapes.nodes(_obs(s, d)).where("family = 'num'").select("endpoint", "status", "path", F.when(F.col("all_int"), "integer").otherwise("number").alias("type")),
     "format_intersection": lambda s, d: shapes.nodes(_obs(s, d)).where("family = 'string'").select("endpoint", "status", "path", "fmt_mask"),
@@ -180,10 +301,33 @@ QUERIES: dict[str, Query] = {
     "drift_summary": lambda s, d: drift.summary(report(s, d)),
     "drift_report_sorted": report,
     "drift_fail_on": lambda s, d: drift.fails(report(s, d), "risky"),
-    "render_types": lambda s, d: emit.render(_obs(s, d), "types"),
-    "render_zod": lambda s, d: emit.render(_obs(s, d), "zod"),
-    "render_json_schema": lambda s, d: emit.render(_obs(s, d), "json-schema"),
-    "render_spark_ddl": lambda s, d: emit.render(_obs(s, d), "spark-ddl"),
-    "render_openapi": lambda s, d: emit.openapi(_exe(s, d), _obs(s, d)),
+    "render_types": lambda s, d: emit.render(_variants(s, d), "types"),
+    "render_zod": lambda s, d: emit.render(_variants(s, d), "zod"),
+    "render_json_schema": lambda s, d: emit.render(_variants(s, d), "json-schema"),
+    "render_spark_ddl": lambda s, d: emit.render(_variants(s, d), "spark-ddl"),
+    "render_openapi": lambda s, d: emit.openapi(_exe(s, d), _variants(s, d)),
+    "recording_catalog": recording_catalog,
+    "api_model": api_model,
+    "request_samples": request_samples,
+    "collapsed_shapes": collapsed_shapes,
+    "json_content_type": lambda s, d: X.events_as_exchanges(s, d).select("ord", S.is_json_type(F.when(F.col("ord") % 4 == 0, "text/plain").when(F.col("ord") % 4 == 1, "Application/JSON; x=1").when(F.col("ord") % 4 == 2, F.col("content_type"))).alias("is_json")),
+    "strip_hop_by_hop": lambda s, d: X.events_as_exchanges(s, d).select("ord", F.array_join(F.sort_array(F.map_keys(S.strip_hop_by_hop(F.create_map(F.when(F.col("ord") % 2 == 0, "Connection").otherwise("X-A"), F.lit("1"), F.lit("Proxy-Any"), F.lit("2"), F.when(F.col("ord") % 3 == 0, "TE").otherwise("Accept"), F.lit("3"))))), ",").alias("names")),
+    "query_bodies": lambda s, d: _exp(s, d).select("ord", S.query_json(F.col("url")).alias("query")),
+    "type_names": lambda s, d: _exe(s, d).select("method", "pattern").distinct().withColumn("type_name", S.type_name(F.col("method"), F.col("pattern"))),
+    "drift_findings": drift_findings,
+    "drift_texts": drift_texts,
+    "drift_counters": drift_counters,
+    "drift_low_confidence": low_confidence,
+    "report_markdown": report_document("en"),
+    "report_markdown_ko": report_document("ko"),
+    "report_text": report_document("text"),
+    "claims_drift": claims_drift,
+    "claims_refused": claims_refused,
+    "gen_types_file": generated("ts"),
+    "gen_zod_file": generated("zod"),
+    "gen_mock_files": generated("msw"),
+    "gen_openapi_file": generated("openapi"),
+    "gen_model_file": generated("model"),
+    "gen_table": lambda s, d: reports.gen_table(model.build(kept(_exe(s, d)), "events")),
     "render_mock_handlers": lambda s, d: emit.mock_handlers(_exe(s, d), endpoints.latest_sample(_exe(s, d))),
 }

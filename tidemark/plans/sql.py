@@ -12,6 +12,8 @@ EXE = """exe AS (SELECT event_id AS ord, CASE event_type WHEN 'signup' THEN 'POS
   '/api/users/' || user_id || CASE event_type WHEN 'view' THEN '/views/' || event_id WHEN 'click' THEN '/clicks/' || event_id WHEN 'purchase' THEN '/orders/' || event_id ELSE '' END AS path,
   CASE WHEN event_type = 'signup' THEN 201 WHEN event_type <> 'error' THEN 200 WHEN user_id % 2 = 0 THEN 404 ELSE 500 END AS status,
   CASE WHEN event_id % 9 = 0 THEN 'application/problem+json' ELSE 'application/json' END AS content_type, user_id, ts,
+  CASE event_type WHEN 'signup' THEN '{"name":"u' || user_id || '"' || CASE WHEN event_id % 3 = 0 THEN ',"plan":"pro"' ELSE '' END || '}' WHEN 'purchase' THEN '{"qty":' || (event_id % 5) || '}' END AS req_body,
+  '/api/users/' || user_id || CASE event_type WHEN 'view' THEN '/views/' || event_id || '?page=' || (event_id % 9) || CASE WHEN event_id % 2 = 0 THEN '&sort=asc' ELSE '' END WHEN 'click' THEN '/clicks/' || event_id WHEN 'purchase' THEN '/orders/' || event_id ELSE '' END AS url,
   '{"id":' || event_id || ',"type":"' || event_type || '"' ||
   CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 7 = 0 THEN ',"value":null' WHEN event_id % 11 = 0 THEN ',"value":"' || user_id || '"' ELSE ',"value":' || (event_id % 97) || CASE WHEN event_id % 3 = 0 THEN '.5' ELSE '' END END ||
   CASE event_id % 4 WHEN 0 THEN ',"tags":[]' WHEN 1 THEN ',"tags":["a"]' WHEN 2 THEN ',"tags":["a",1]' ELSE '' END ||
@@ -48,9 +50,13 @@ def tree(x: str, t: str) -> str:
 {t}_types AS (SELECT endpoint, status, path, bool_or(family = 'null') AS nullable, CASE WHEN count(*) FILTER (family <> 'null') > 1 THEN 'union' WHEN count(*) FILTER (family <> 'null') = 0 THEN 'null' ELSE max(CASE WHEN family = 'num' THEN CASE WHEN all_int THEN 'integer' ELSE 'number' END WHEN family <> 'null' THEN family END) END AS type, max(CASE WHEN family = 'string' THEN fmt_mask END) AS mask, sum(samples) AS samples FROM {t}_nodes GROUP BY ALL)"""
 
 
-SIDES = """a0 AS (SELECT * FROM exe WHERE ts < TIMESTAMP '2024-01-16'),
+_BODY = """replace(replace(replace(replace(replace(body, ',"mail":"u', ',"email":"u'), '"type":"view"', '"type":"peek"'), '"at":"2024-01-05"', '"at":"2024-01-05T11:00:00Z"'), '{"id":' || ord || ',', '{"id":"' || ord || '",'), ',"value":"' || user_id || '"', ',"value":true')"""
+SIDES = f"""a0 AS (SELECT * FROM exe WHERE ts < TIMESTAMP '2024-01-16'),
 b0 AS (SELECT * REPLACE (CASE WHEN status = 500 THEN 503 ELSE status END AS status, CASE WHEN method = 'PUT' THEN 'PATCH' ELSE method END AS method,
-  replace(replace(replace(body, ',"mail":"u', ',"email":"u'), '"type":"view"', '"type":"peek"'), '{"id":' || ord || ',', '{"id":"' || ord || '",') AS body) FROM exe WHERE ts >= TIMESTAMP '2024-01-16')"""
+  CASE WHEN status <> 404 THEN CASE WHEN ord % 6 = 0 THEN regexp_replace({_BODY}, ',"props":.*$', ',"props":null}}') ELSE {_BODY} END END AS body,
+  CASE WHEN status >= 400 THEN '{{"x":1}}' WHEN method <> 'POST' THEN req_body END AS req_body,
+  CASE WHEN contains(path, '/views/') THEN path WHEN contains(path, '/clicks/') THEN path || '?ref=x' ELSE url END AS url,
+  replace(path, '/clicks/', '/clicks/click-0000000000000000') AS path) FROM exe WHERE ts >= TIMESTAMP '2024-01-16')"""
 _E = EXE + ",\n" + norm("exe")
 _T = "WITH " + _E + ",\n" + tree("x_exe", "t")
 _D = "WITH " + EXE + ",\n" + SIDES + ",\n" + norm("a0") + ",\n" + norm("b0")
@@ -88,15 +94,30 @@ _TYPES = [_finding("CASE WHEN type IN ('integer', 'number') AND tb IN ('integer'
 _FORMATS = [_finding("CASE WHEN (mask & ~mb) <> 0 THEN 'risky' ELSE 'info' END", "format-changed", _PATHS, "type = 'string' AND tb = 'string' AND mask <> mb", "status", "path", "mask", "mb", "sb")]
 _EN = "(SELECT a.endpoint, a.status, a.path, b.samples AS sb, list_filter(b.vals, lambda v: NOT list_contains(a.vals, v)) AS more, list_filter(a.vals, lambda v: NOT list_contains(b.vals, v)) AS less FROM a_enums a JOIN b_enums b USING (endpoint, status, path))"
 _ENUMS = [
-    _finding("'risky'", "enum-changed", _EN, "len(more) > 0", "status", "path", after="array_to_string(more, ',')", samples="sb"),
-    _finding("'info'", "enum-changed", _EN, "len(less) > 0", "status", "path", before="array_to_string(less, ',')", samples="sb"),
-    _finding("'risky'", "enum-opened", "(SELECT e.*, y.samples AS sb FROM a_enums e JOIN b_types y USING (endpoint, status, path) WHERE y.type = 'string' AND (e.endpoint, e.status, e.path) NOT IN (SELECT (endpoint, status, path) FROM b_enums))", "true", "status", "path", before="array_to_string(vals, ',')", samples="sb"),
+    _finding("'risky'", "enum-values-changed", _EN, "len(more) > 0", "status", "path", after="array_to_string(more, ',')", samples="sb"),
+    _finding("'info'", "enum-values-changed", _EN, "len(less) > 0", "status", "path", before="array_to_string(less, ',')", samples="sb"),
+    _finding("'risky'", "enum-values-changed", "(SELECT e.*, y.samples AS sb FROM a_enums e JOIN b_types y USING (endpoint, status, path) WHERE y.type = 'string' AND (e.endpoint, e.status, e.path) NOT IN (SELECT (endpoint, status, path) FROM b_enums))", "true", "status", "path", before="array_to_string(vals, ',')", samples="sb"),
 ]
 _PF = "(SELECT endpoint, i - 1 AS idx, arg_min(name, ord) AS name, arg_min(kind, ord) AS f FROM x_{s} JOIN seg_{s} USING (path) WHERE kind <> 'literal' GROUP BY ALL)"
 _PARAMS = [_finding("'risky'", "params-changed", f"(SELECT p.endpoint, p.name, p.f, q.f AS fb FROM {_PF.format(s='a0')} p JOIN {_PF.format(s='b0')} q USING (endpoint, name))", "f <> fb", path="name", before="f", after="fb")]
 _ALL = _ENDPOINTS + _STATUSES + _PARAMS + _FIELDS + _NULLS + _TYPES + _FORMATS + _ENUMS
 
 
+_CORE = "(SELECT endpoint, status, path, CASE WHEN family = 'num' THEN CASE WHEN all_int THEN 'integer' ELSE 'number' END ELSE family END AS meet, count(*) OVER (PARTITION BY endpoint, status, path) AS k FROM {t}_nodes WHERE family <> 'null')"
+_VARIANTS = "(SELECT x.endpoint, x.status, x.path, (SELECT sum(samples) FROM b_nodes n WHERE n.endpoint = x.endpoint AND n.status = x.status AND n.path = x.path) AS sb FROM {x} x JOIN (SELECT DISTINCT endpoint, status, path, k FROM {y}) y USING (endpoint, status, path) WHERE (x.k > 1 OR y.k > 1) AND (x.endpoint, x.status, x.path, x.meet) NOT IN (SELECT (endpoint, status, path, meet) FROM {y}))"
+_HAS = "(SELECT DISTINCT endpoint FROM x_{x} WHERE {what} AND endpoint IN (SELECT endpoint FROM x_{y}) AND endpoint NOT IN (SELECT endpoint FROM x_{y} WHERE {what}))"
+_REQ, _QUE = "req_body IS NOT NULL", "contains(url, '?')"
+_MORE = [
+    _finding("'info'", "request-changed", _HAS.format(x="a0", y="b0", what=_REQ), "true", path="'request'"),
+    _finding("'breaking'", "request-changed", _HAS.format(x="b0", y="a0", what=_REQ), "true", path="'request'"),
+    _finding("'info'", "query-changed", _HAS.format(x="a0", y="b0", what=_QUE), "true", path="'query'"),
+    _finding("'risky'", "query-changed", _HAS.format(x="b0", y="a0", what=_QUE), "true", path="'query'"),
+    _finding("'breaking'", "type-changed", "(SELECT endpoint, status, count(*) AS n, count(body) AS bodies FROM x_b0 GROUP BY ALL)", "bodies = 0 AND (endpoint, status) IN (SELECT (endpoint, status) FROM x_a0 WHERE body IS NOT NULL)", "status", samples="n"),
+    _finding("'info'", "type-changed", _VARIANTS.format(x=_CORE.format(t="a"), y=_CORE.format(t="b")), "true", "status", "path", samples="sb"),
+    _finding("'risky'", "type-changed", _VARIANTS.format(x=_CORE.format(t="b"), y=_CORE.format(t="a")), "true", "status", "path", samples="sb"),
+]
+
+
 def _u(parts: list[str]) -> str:
     return "\n" + "\nUNION ALL\n".join(parts)
 
@@ -108,10 +129,9 @@ _WORD = "upper(left({x}, 1)) || substr({x}, 2)"
 _PASCAL = "array_to_string(list_transform(list_filter(regexp_split_to_array({x}, '[^a-zA-Z0-9]+'), lambda f: f <> ''), lambda f: upper(left(f, 1)) || substr(f, 2)), '')"
 _CONST = "SELECT event_id, CASE event_id % 8 WHEN 0 THEN '123e4567-e89b-12d3-a456-4266141740' || lpad(CAST(event_id % 100 AS VARCHAR), 2, '0') WHEN 1 THEN '2024-01-05T10:00:' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') || 'Z' WHEN 2 THEN '2024-01-' || lpad(CAST(event_id % 28 + 1 AS VARCHAR), 2, '0') WHEN 3 THEN 'u' || user_id || '@example.com' WHEN 4 THEN 'https://example.com/' || event_id WHEN 5 THEN '2024-01-05' || chr(10) WHEN 6 THEN 'mailto://u' || user_id || '@x.y' ELSE event_type END AS s FROM events"
 _MASK = f"CASE WHEN regexp_full_match(s, '{_UUID}') THEN 1 ELSE 0 END + CASE WHEN regexp_full_match(s, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}([.][0-9]+)?(Z|[+-][0-9]{{2}}:[0-9]{{2}})') THEN 2 WHEN regexp_full_match(s, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 4 ELSE 0 END + CASE WHEN regexp_full_match(s, '[^\\s@]+@[^\\s@]+[.][^\\s@]+') THEN 8 ELSE 0 END + CASE WHEN regexp_full_match(s, '[a-zA-Z][a-zA-Z0-9+.-]*://[^\\s]+') THEN 16 ELSE 0 END"
-_LINE = "CASE WHEN ord % 13 = 0 THEN left(body, length(body) - 1) WHEN ord % 17 = 0 THEN '  ' ELSE '  ' || body || ' ' END"
 
 SQL: dict[str, str] = {
-    "scan_skip_corrupt": f"WITH {EXE}, l AS (SELECT status, {_LINE} AS line FROM exe) SELECT status, count(*) AS n_lines, count(*) FILTER (trim(line) = '') AS n_blank, count(*) FILTER (trim(line) <> '' AND json_valid(trim(line))) AS n_kept FROM l GROUP BY status",
+    "scan_skip_corrupt": f"WITH {EXE} SELECT status, count(*) AS n_kept, count(*) AS n_bodies, count(*) AS n_places FROM exe WHERE ord % 13 <> 0 AND ord % 17 <> 0 GROUP BY status",
     "filter_include_exclude": f"WITH {EXE} SELECT ord, path FROM exe WHERE (starts_with(path, '/api/users/1') OR starts_with(path, '/api/users/2')) AND NOT starts_with(path, '/api/users/11')",
     "redact_headers": f"WITH {EXE} SELECT ord, '[redacted]' AS \"authorization\", content_type, CASE WHEN ord % 2 = 0 THEN '[redacted]' ELSE 'k' || user_id END AS last_key FROM exe",
     "body_decode_cap": f"WITH {EXE} SELECT ord, left(body, 128) AS text, length(body) <= 128 AS parsed FROM exe",
@@ -160,5 +180,22 @@ SQL: dict[str, str] = {
     "drift_unions": _DT + " SELECT endpoint, status, path, coalesce(a_nodes.family, b_nodes.family) AS family, a_nodes.samples AS n_a, b_nodes.samples AS n_b FROM a_nodes FULL JOIN b_nodes USING (endpoint, status, path, family) WHERE a_nodes.samples IS NULL OR b_nodes.samples IS NULL",
     "drift_summary": _DT + " SELECT severity, kind, count(*) AS n FROM (" + _u(_ALL) + ") GROUP BY ALL",
     "drift_report_sorted": _DT + " SELECT * FROM (" + _u(_ALL) + ")",
+    "drift_findings": _DT + " SELECT severity, kind, endpoint, status, CASE WHEN path <> '$' THEN regexp_replace(path, '^[$][.]?', '') END AS path, CASE WHEN kind NOT IN ('endpoint-added', 'status-added') THEN b_samples END AS b_samples FROM (" + _u(_ALL + _MORE) + ")",
+    "drift_counters": _D + " SELECT count(*) FILTER (a AND b) AS endpoints_compared, count(*) FILTER (a AND NOT b) AS endpoints_only_in_a, count(*) FILTER (b AND NOT a) AS endpoints_only_in_b FROM (SELECT bool_or(s = 'a') AS a, bool_or(s = 'b') AS b FROM (SELECT endpoint, 'a' AS s FROM x_a0 UNION ALL SELECT endpoint, 'b' FROM x_b0) GROUP BY endpoint)",
+    "recording_catalog": "SELECT 'day-' || day(ts) AS name, 'http://events' AS target, count(*) AS n FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-03' GROUP BY ALL",
+    "request_samples": _EE + "SELECT endpoint, status, arg_max(req_body, ord) AS sample FROM x_exe WHERE req_body IS NOT NULL GROUP BY ALL",
+    "collapsed_shapes": "SELECT * FROM (VALUES ('$', 'record', NULL, NULL), ('${}', 'object', NULL, NULL), ('${}.lines', 'array', NULL, NULL), ('${}.lines[]', 'primitive', 'integer', NULL)) t(path, kind, type, vals) UNION ALL SELECT '${}.status', 'primitive', 'string', string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) FROM orders",
+    "json_content_type": f"WITH {EXE} SELECT ord, ord % 4 IN (1, 2) AS is_json FROM exe",
+    "strip_hop_by_hop": f"WITH {EXE} SELECT ord, CASE WHEN ord % 6 = 0 THEN '' WHEN ord % 2 = 0 THEN 'Accept' WHEN ord % 3 = 0 THEN 'X-A' ELSE 'Accept,X-A' END AS names FROM exe",
+    "query_bodies": "WITH " + EXP + ", q AS (SELECT ord, list_filter(string_split(CASE WHEN strpos(url, '?') > 0 THEN substr(url, strpos(url, '?') + 1) ELSE '' END, '&'), lambda x: x <> '') AS p FROM exp) SELECT ord, '{' || array_to_string(list_transform(p, lambda x: CAST(to_json(regexp_extract(x, '^[^=]*', 0)) AS VARCHAR) || ':' || CASE WHEN regexp_full_match(regexp_extract(x, '^[^=]*=?(.*)$', 1), '[0-9]+') THEN regexp_extract(x, '^[^=]*=?(.*)$', 1) ELSE CAST(to_json(regexp_extract(x, '^[^=]*=?(.*)$', 1)) AS VARCHAR) END), ',') || '}' AS query FROM q",
+    "type_names": _EE + "SELECT DISTINCT method, pattern, upper(left(method, 1)) || lower(substr(method, 2)) || array_to_string(list_transform(list_filter(string_split(pattern, '/'), lambda p: p <> ''), lambda p: CASE WHEN p LIKE ':%' THEN 'By' ELSE '' END || " + _PASCAL.format(x="p") + "), '') AS type_name FROM x_exe",
+    "api_model": _T + """, rp AS (SELECT endpoint, count(DISTINCT j.fullkey) AS n FROM x_exe, json_tree(x_exe.req_body) j WHERE req_body IS NOT NULL GROUP BY endpoint),
+qp AS (SELECT endpoint, 1 + count(DISTINCT regexp_extract(k, '^[^=]*', 0)) AS n FROM (SELECT endpoint, unnest(string_split(string_split(url, '?')[2], '&')) AS k FROM x_exe WHERE contains(url, '?')) GROUP BY endpoint),
+pp AS (SELECT endpoint, string_agg(name || ':' || f, ',' ORDER BY idx) AS params FROM """ + _PF.format(s="exe") + """ GROUP BY endpoint),
+ct AS (SELECT endpoint, status, content_type FROM (SELECT endpoint, status, content_type, row_number() OVER (PARTITION BY endpoint, status ORDER BY count(*) DESC, min(ord)) AS r FROM x_exe GROUP BY endpoint, status, content_type) WHERE r = 1),
+r AS (SELECT endpoint, status, method, pattern, count(*) AS n FROM x_exe GROUP BY ALL)
+SELECT r.endpoint, r.status, r.n, ct.content_type, lower(method) || array_to_string(list_transform(list_filter(string_split(pattern, '/'), lambda p: p <> ''), lambda p: CASE WHEN p LIKE ':%' THEN 'By' ELSE '' END || """ + _PASCAL.format(x="p") + """), '') AS operation_id, pp.params,
+  (SELECT count(DISTINCT path) FROM t_nodes t WHERE t.endpoint = r.endpoint AND t.status = r.status) AS body_places, rp.n AS request_places, qp.n AS query_places
+FROM r JOIN ct USING (endpoint, status) LEFT JOIN pp USING (endpoint) LEFT JOIN rp USING (endpoint) LEFT JOIN qp USING (endpoint)""",
     "drift_fail_on": _DT + " SELECT coalesce(bool_or(severity IN ('breaking', 'risky')), false) AS fails FROM (" + _u(_ALL) + ")",
 }

@@ -1,4 +1,4 @@
-"""Exchanges as rows: recordings on disk, and two projections over the sample tables.
+"""Exchanges as rows: two projections over the sample tables, and endpoints of exchanges.
 
 An exchange has ord (arrival order), method, path, query text, status, content type and body.
 Bodies stay JSON text: null is no JSON body, the text ``null`` is a JSON null.
@@ -6,48 +6,17 @@ Bodies stay JSON text: null is no JSON body, the text ``null`` is a JSON null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_recording(spark: SparkSession, folder: str) -> DataFrame:
-    """Exchanges of an NDJSON log; blank and corrupt lines are skipped.
-
-    ``ord`` follows the file's order: file, then the line's place in it.
-    """
-    lines = spark.read.text(f"{folder}/exchanges.ndjson").select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("ord"))
-    good = lines.where((F.col("line") != "") & F.try_parse_json("line").isNotNull())
-    at = lambda p: F.get_json_object("line", p)
-    return good.select(
-        "ord", at("$.id").alias("id"), at("$.startedAt").cast("long").alias("started_at"), at("$.request.method").alias("method"), at("$.request.url").alias("url"),
-        at("$.request.path").alias("path"), at("$.response.status").cast("int").alias("status"), at("$.response.headers.content-type").alias("content_type"),
-        json_body("$.request.bodyJson").alias("req_json"), json_body("$.response.bodyJson").alias("res_json"), at("$.response.durationMs").cast("long").alias("duration_ms"),
-    )
-
-
-def json_body(path: str) -> Column:
-    """A JSON body as text: absent is null, JSON null is the text ``null``, a string keeps its quotes."""
-    value = F.expr(f"try_variant_get(try_parse_json(line), '{path}')")
-    return F.to_json(value)
-
-
-def recording_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """Metadata of all recordings under ``folder``, the last updated first."""
-    schema = "name string, target string, createdAt long, updatedAt long, exchangeCount long"
-    return spark.read.schema(schema).json(f"{folder}/*/meta.json", multiLine=True).orderBy(F.desc("updatedAt"))
-
-
-def append_exchanges(exchanges: DataFrame, folder: str, name: str) -> None:
-    """Appends to the recording's parquet log; counts and times are derived, not stored."""
-    exchanges.withColumn("recording", F.lit(name)).write.mode("append").partitionBy("recording").parquet(folder)
-
-
 def pages_as_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A GET for each page, the authority taken off its URL."""
     p = table(spark, sf_dir, "pages")
@@ -72,10 +41,16 @@ def events_as_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/api/users/"), text(F.col("user_id")), suffix).alias("path"),
         F.when(kind == "signup", 201).when(kind != "error", 200).when(F.col("user_id") % 2 == 0, 404).otherwise(500).alias("status"),
         F.when(i % 9 == 0, "application/problem+json").otherwise("application/json").alias("content_type"), body.alias("body"), "user_id", "ts",
+        F.when(kind == "signup", F.concat(F.lit('{"name":"u'), text(F.col("user_id")), F.lit('"'), F.when(i % 3 == 0, ',"plan":"pro"').otherwise(""), F.lit("}"))).when(kind == "purchase", F.concat(F.lit('{"qty":'), text(i % 5), F.lit("}"))).alias("req_body"),
+        F.concat(F.lit("/api/users/"), text(F.col("user_id")), suffix, F.when(kind == "view", F.concat(F.lit("?page="), text(i % 9), F.when(i % 2 == 0, "&sort=asc").otherwise(""))).otherwise("")).alias("url"),
     )
 
 
-def with_endpoint(exchanges: DataFrame) -> DataFrame:
-    """Adds pattern, params and endpoint (``METHOD pattern``)."""
-    d = exchanges.withColumn("n", S.normalize_path(F.col("path")))
-    return d.select("*", F.col("n.pattern").alias("pattern"), F.col("n.params").alias("params"), F.concat_ws(" ", "method", "n.pattern").alias("endpoint")).drop("n")
+def with_endpoint(exchanges: DataFrame, force: tuple[str, ...] = ()) -> DataFrame:
+    """Adds pattern, params and endpoint (``METHOD pattern``).
+
+    The segments are a column of their own, so the pattern and the parameters are read from one computation of them.
+    """
+    d = spread(exchanges).withColumn("segments", S.path_segments(F.col("path"), force))
+    d = d.withColumn("pattern", S.pattern_of(F.col("segments"))).withColumn("params", S.params_of(F.col("segments"))).drop("segments")
+    return d.withColumn("endpoint", F.concat_ws(" ", F.upper("method"), "pattern"))

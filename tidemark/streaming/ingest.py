@@ -22,8 +22,11 @@ def landed(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> Da
 
 
 def node_counts(stream: DataFrame) -> DataFrame:
-    obs = shapes.observations(with_endpoint(stream).select("endpoint", "status", "ord", "body"))
-    return obs.groupBy("endpoint", "status", "path", "family").agg(F.count(F.lit(1)).alias("samples"), F.bool_and("is_int").alias("all_int"), F.bit_and("fmt_mask").alias("fmt_mask"), F.min("ord").alias("first_ord"))
+    """The aggregates of ``shapes.nodes``, kept up to date."""
+    parts = shapes.walked(with_endpoint(stream).select("endpoint", "status", "ord", "body"))
+    seen = F.min(F.struct("first_ord", "first_pos"))
+    found = parts.groupBy("endpoint", "status", "path", "family").agg(F.sum("n").alias("samples"), F.bool_and("all_int").alias("all_int"), F.bit_and("fmt_mask").alias("fmt_mask"), seen.alias("first"))
+    return found.select("endpoint", "status", shapes.shown(F.col("path")).alias("path"), "family", "samples", "all_int", "fmt_mask", "first.first_ord", "first.first_pos")
 
 
 def keep_nodes(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
