@@ -145,8 +145,11 @@ def _prefixes(docs: DataFrame, reps: DataFrame, known: tuple[np.ndarray, np.ndar
 
 def _one_of_each(rows: DataFrame, reps: DataFrame) -> DataFrame:
     """One row of each class in ``reps`` (rep, class): of its least doc_id's rows, which are equal, any."""
-    mine = rows.join(reps, (F.col("node") == F.col("class")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").drop("doc_id")
-    return mine.groupBy("node").agg(*[F.first(c).alias(c) for c in mine.columns if c != "node"])
+    mine = written(rows.join(reps, (F.col("node") == F.col("class")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").drop("doc_id"), "jaccard-reps")
+    if mine.count() == reps.count():
+        return mine
+    # rows are there twice with one doc_id and one set; only then is there anything to bring together
+    return written(mine.groupBy("node").agg(*[F.first(c).alias(c) for c in mine.columns if c != "node"]), "jaccard-reps")
 
 
 def _meetings(postings: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -289,7 +292,7 @@ def _shingles(docs: DataFrame, reps: DataFrame, members: DataFrame, width: int)
     few = ids.count() <= BROADCAST_ROWS  # a larger list is joined by a shuffle
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     found = texts.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, shingles array<long>").select("doc_id", _node(), "shingles")
-    return written(_one_of_each(found, mine), "jaccard-shingles")
+    return _one_of_each(found, mine)
 
 
 def _teams(members: DataFrame, arrays: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -352,7 +355,7 @@ def classes(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     sets = written(_sets(docs, percent, width), "jaccard-sets")
     nodes = written(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-classes")
     reps = nodes.select("rep", F.col("node").alias("class"))
-    first = written(_prefixes(docs, reps, _known(sets), percent, width), "jaccard-prefixes")
+    first = _prefixes(docs, reps, _known(sets), percent, width)
     clusters = components(_candidates(first, percent))
     members = written(clusters.join(nodes.select("node", "n"), "node").select("node", "n", F.col("component").alias("cluster")), "jaccard-members")
     links = written(_links(docs, reps, members, percent, width), "jaccard-links")
