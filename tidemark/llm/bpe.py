@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STORE = 300_000
+STORE = 120_000
 LONG_WORD = 64
 SLICE_ROWS = 500
 #: Unicode's white space, which the tokenizer's \s matches.
