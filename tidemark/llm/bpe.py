@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STORE = 120_000
+STORE = 180_000
 LONG_WORD = 64
-SLICE_ROWS = 500
+SLICE_ROWS = 200
 #: Unicode's white space, which the tokenizer's \s matches.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACES = re.compile(f"[{SPACE}]+")
