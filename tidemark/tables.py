@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,15 +17,28 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "local")
         if not master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder in it, which ``clean`` deletes."""
+    return f"{shared_folder(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application; results that still read them must be written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written once and read again: plans that use it many times stay short, and
     a lost executor costs a reread."""
-    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
