@@ -302,6 +302,8 @@ def _teams(members: DataFrame, arrays: DataFrame, percent: int) -> tuple[DataFra
     """
     large = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK).select("cluster")
     loose = written(members.join(large, "cluster", "left_semi"), "jaccard-loose")
+    if not loose.isEmpty():
+        arrays = written(arrays.join(loose.select("node"), "node", "left_semi"), "jaccard-large")
     links, placed = None, None
     for team in range(1, LEADERS + 1):
         if loose.isEmpty():
