@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, lm_score, mixing, rules, sharding, token_counts, vector_graph, warc_zip
+from . import bpe, jaccard_join, language_id, lm_score, mixing, rules, sharding, token_counts, vector_graph, warc_zip, whitening
 
 
 PIECE_MODEL, WORD_BPE = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -77,6 +77,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 16 leading components, whitened."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), k=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc": op2_warc,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe": op9_bpe,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_whitening": op11_whitening,
 }
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 #: What SQL can express, for DuckDB; the other queries are random, learned or a library's, and are tested by brute force.
