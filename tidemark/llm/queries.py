@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, lm_score, mixing, rules, sharding, token_counts, vector_graph, warc_zip, whitening
+from . import bpe, jaccard_join, language_id, lm_score, mixing, rules, sharding, token_counts, vector_codes, vector_graph, warc_zip, whitening
 
 
 PIECE_MODEL, WORD_BPE = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -82,6 +82,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), k=16)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as sixteen entries of 64-entry codebooks, with its error."""
+    return vector_codes.with_label_error(vector_codes.compress(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_warc": op2_warc,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_whitening": op11_whitening,
+    "op12_vector_codes": op12_vector_codes,
 }
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
 #: What SQL can express, for DuckDB; the other queries are random, learned or a library's, and are tested by brute force.
@@ -114,4 +120,18 @@ g AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfini
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
 r AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a)
 SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN (SELECT a, min(c) AS component_id FROM r GROUP BY a) c ON c.a = e.vec_id""",
+    "op12_vector_codes": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+q AS (SELECT vec_id, label, p.part, x[p.part * (len(x) // 16) + 1 : (p.part + 1) * (len(x) // 16)] AS x FROM v, (SELECT unnest(range(16)) AS part) p),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM q QUALIFY entry < 64),
+a1 AS (SELECT vec_id, q.part, any_value(x) AS x, min((list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), entry)) AS best FROM q JOIN c0 ON q.part = c0.part GROUP BY vec_id, q.part),
+m1 AS (SELECT part, best[2] AS entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM a1, (SELECT unnest(range(1, 5)) AS i) GROUP BY part, best[2], i),
+c1 AS (SELECT c0.part, c0.entry, coalesce(any_value(n.c), any_value(c0.c)) AS c FROM c0 LEFT JOIN (SELECT part, entry, list(m ORDER BY i) AS c FROM m1 GROUP BY part, entry) n ON n.part = c0.part AND n.entry = c0.entry GROUP BY c0.part, c0.entry),
+a2 AS (SELECT vec_id, q.part, any_value(x) AS x, min((list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), entry)) AS best FROM q JOIN c1 ON q.part = c1.part GROUP BY vec_id, q.part),
+m2 AS (SELECT part, best[2] AS entry, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM a2, (SELECT unnest(range(1, 5)) AS i) GROUP BY part, best[2], i),
+c2 AS (SELECT c1.part, c1.entry, coalesce(any_value(n.c), any_value(c1.c)) AS c FROM c1 LEFT JOIN (SELECT part, entry, list(m ORDER BY i) AS c FROM m2 GROUP BY part, entry) n ON n.part = c1.part AND n.entry = c1.entry GROUP BY c1.part, c1.entry),
+a3 AS (SELECT vec_id, any_value(label) AS label, q.part, min((list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), entry)) AS best FROM q JOIN c2 ON q.part = c2.part GROUP BY vec_id, q.part),
+r AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a3 GROUP BY vec_id),
+k AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, k""",
 }
