@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import kept
+from . import firsts
+
 MAX_SAMPLES = 10
 
 
@@ -22,10 +25,9 @@ def param_values(x: DataFrame) -> DataFrame:
 
 
 def param_samples(x: DataFrame, limit: int = MAX_SAMPLES) -> DataFrame:
-    """The first ``limit`` distinct values of each parameter in order of arrival."""
-    first = param_values(x).groupBy("endpoint", "index", "value").agg(F.min("ord").alias("first_ord"))
-    rank = F.row_number().over(Window.partitionBy("endpoint", "index").orderBy("first_ord", "value"))
-    return first.withColumn("rank", rank).where(F.col("rank") <= limit)
+    """The first ``limit`` distinct values of each parameter in order of arrival; a task sends at most ``limit`` a parameter."""
+    values = param_values(x).select("endpoint", "index", "value", F.col("ord").alias("first_ord"))
+    return firsts.first_distinct(values, ["endpoint", "index"], "value", "first_ord", limit)
 
 
 def param_first_format(x: DataFrame) -> DataFrame:
@@ -42,6 +44,24 @@ def dominant_content_type(x: DataFrame) -> DataFrame:
     return counts.groupBy("endpoint", "status").agg(F.max_by("content_type", F.struct("n", -F.col("first_ord"))).alias("content_type"))
 
 
+def exchange_positions(x: DataFrame, column: str = "ord", parts: int | None = None) -> DataFrame:
+    """(endpoint, ord, ``column``, pos): the place of each exchange in its endpoint's list, from 0 without gaps.
+
+    Exchanges are ranged by endpoint and order, so a hot endpoint lies in as many tasks as its size asks for; each task counts
+    its own, and what the tasks before it have of the same endpoint is added: prefix sums over one row for each (task, endpoint).
+    """
+    named = [c for c in dict.fromkeys(("endpoint", "ord", column))]
+    keys = ["endpoint", *[c for c in named if c != "endpoint"]]
+    ranged = x.select(*named).repartitionByRange(parts, *keys) if parts else x.select(*named).repartitionByRange(*keys)
+    ranged = kept(ranged.sortWithinPartitions(*keys).withColumn("task", F.spark_partition_id()))
+    counts = ranged.groupBy("endpoint", "task").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("endpoint").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept(counts.select("endpoint", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    place = F.row_number().over(Window.partitionBy("endpoint", "task").orderBy(*keys[1:])) - 1
+    placed = ranged.withColumn("place", place).join(starts, ["endpoint", "task"])
+    return placed.select(*named, (F.col("start") + F.col("place")).cast("long").alias("pos"))
+
+
 def success_status(x: DataFrame) -> DataFrame:
     ok = F.when(F.col("status").between(200, 299), F.col("status"))
     return x.groupBy("endpoint").agg(F.coalesce(F.min(ok), F.min("status")).alias("status"))

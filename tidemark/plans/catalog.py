@@ -268,6 +268,7 @@ QUERIES: dict[str, Query] = {
     "endpoint_groups": lambda s, d: endpoints.endpoint_groups(_exp(s, d)),
     "status_counts": lambda s, d: endpoints.status_counts(_exe(s, d)),
     "exchange_ids": lambda s, d: _exp(s, d).select("endpoint", "ord"),
+    "exchange_positions": lambda s, d: endpoints.exchange_positions(_exe(s, d)),
     "param_samples_topk": lambda s, d: endpoints.param_samples(_exe(s, d)).select("endpoint", F.col("index").cast("long").alias("idx"), "value", F.col("rank").cast("long").alias("rank")),
     "param_first_format": lambda s, d: endpoints.param_first_format(_exe(s, d)).withColumn("idx", F.col("index").cast("long")).drop("index"),
     "latest_sample": lambda s, d: endpoints.latest_sample(_exe(s, d)),

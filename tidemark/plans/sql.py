@@ -148,6 +148,7 @@ SQL: dict[str, str] = {
     "endpoint_groups": _X + "SELECT method, pattern, count(*) AS n, min(ord) AS first_ord, max(ord) AS last_ord FROM x_exp GROUP BY ALL",
     "status_counts": _EE + "SELECT endpoint, status, count(*) AS n FROM x_exe GROUP BY ALL",
     "exchange_ids": _X + "SELECT endpoint, ord FROM x_exp",
+    "exchange_positions": _EE + "SELECT endpoint, ord, row_number() OVER (PARTITION BY endpoint ORDER BY ord) - 1 AS pos FROM x_exe",
     "param_samples_topk": _EE + "SELECT endpoint, idx, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY endpoint, idx ORDER BY first_ord, value) AS rank FROM (SELECT endpoint, i - 1 AS idx, seg AS value, min(ord) AS first_ord FROM x_exe JOIN seg_exe USING (path) WHERE kind <> 'literal' GROUP BY ALL)) WHERE rank <= 10",
     "param_first_format": _EE + f"SELECT endpoint, idx, name, f AS format FROM {_PF.format(s='exe')}",
     "latest_sample": _EE + "SELECT endpoint, status, arg_max(body, ord) AS sample, max(ord) AS ord FROM x_exe GROUP BY ALL",
