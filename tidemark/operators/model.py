@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import formats
 from ..functions import scalars as S
 from ..tables import kept
-from . import endpoints, shapes, trees
+from . import shapes, state, trees
 
 SHAPE, SEP = shapes.SHAPE, shapes.SEP
 VARIANTS = (
@@ -168,33 +168,20 @@ def texts(variants: DataFrame) -> DataFrame:
     return variants.groupBy(*SHAPE).applyInPandas(run, TEXTS)
 
 
-def bodies(exchanges: DataFrame) -> DataFrame:
-    """(endpoint, slot, status, ord, body) of the responses, requests and queries of ``exchanges``
-    (endpoint, status, ord, body and, where there are, req_body and url)."""
-    out = exchanges.select("endpoint", F.lit("response").alias("slot"), "status", "ord", "body")
-    if "req_body" in exchanges.columns:
-        out = out.union(exchanges.where("req_body is not null").select("endpoint", F.lit("request"), F.lit(-1), "ord", "req_body"))
-    if "url" in exchanges.columns:
-        query = exchanges.select("endpoint", "ord", S.query_json(F.col("url")).alias("query")).where("query <> '{}'")
-        out = out.union(query.select("endpoint", F.lit("query"), F.lit(-1), "ord", "query"))
-    return out
-
-
 def build(exchanges: DataFrame, name: str = "recording", target: str = "", options: Options = Options(), generated_at: int = 0) -> Model:
     """The model of ``exchanges`` (method, pattern, endpoint, params, status, ord, body, content_type; req_body and url where there are)."""
-    x = exchanges
-    if "req_body" in x.columns:
-        sample = F.max_by("req_body", F.when(F.col("req_body").isNotNull(), F.col("ord")))
-    else:
-        sample = F.lit(None).cast("string")
-    ends = x.groupBy("endpoint", "method", "pattern").agg(F.count(F.lit(1)).alias("samples"), sample.alias("request_sample"))
+    return of_state(state.gathered(exchanges), name, target, options, generated_at)
+
+
+def of_state(s: state.State, name: str = "recording", target: str = "", options: Options = Options(), generated_at: int = 0) -> Model:
+    """The model that a state holds: of one batch, of merged ones, or of a stream so far."""
+    ends = s.endpoints.select("endpoint", "method", "pattern", F.col("n").alias("samples"), "request_sample")
     ends = ends.withColumn("operation_id", S.operation_name(F.col("method"), F.col("pattern"))).withColumn("type_name", S.type_name(F.col("method"), F.col("pattern")))
-    first = endpoints.param_first_format(x)
-    listed = endpoints.param_samples(x).groupBy("endpoint", "index").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda v: v["value"]).alias("samples"))
-    responses = x.groupBy("endpoint", "status").agg(F.count(F.lit(1)).alias("count"), F.max_by("body", F.when(F.col("body").isNotNull(), F.col("ord"))).alias("sample_body"))
-    responses = responses.join(endpoints.dominant_content_type(x), ["endpoint", "status"], "left")
-    parts = shapes.observe(bodies(x))
-    return Model(name, target, kept(ends), kept(first.join(listed, ["endpoint", "index"])), kept(responses), observed(parts, options), generated_at)
+    listed = s.samples.groupBy("endpoint", "index").agg(F.transform(F.sort_array(F.collect_list(F.struct("first_ord", "value"))), lambda v: v["value"]).alias("samples"))
+    types = s.types.groupBy("endpoint", "status").agg(F.max_by("content_type", F.struct("n", -F.col("first_ord"))).alias("content_type"))
+    responses = s.responses.select("endpoint", "status", F.col("n").alias("count"), "sample_body").join(types, ["endpoint", "status"], "left")
+    params = s.params.drop("first_ord").join(listed, ["endpoint", "index"])
+    return Model(name, target, kept(ends), kept(params), kept(responses), observed(kept(s.parts), options), generated_at)
 
 
 def exchange_ids(exchanges: DataFrame, column: str = "id") -> DataFrame:
