@@ -1,7 +1,7 @@
-"""A store of recordings: a folder for each, with an NDJSON log of exchanges and a file of metadata.
+"""A store of recordings: a folder for each, with a log of exchanges (see ``log``) and a file of metadata.
 
-Logs are read and appended to by Spark, through any file system it knows; the metadata, one small file a recording, goes
-through the same file system from the driver.
+Tasks read and write the logs; the metadata is one small file a recording.  A folder
+with a plain ``exchanges.ndjson`` that something else has recorded is a recording too; its first append takes that file into the log.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import uuid
 import zlib
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -21,8 +22,10 @@ from ..functions import formats
 from ..functions import scalars as S
 from ..operators import claims
 from ..operators import model as M
+from . import log
 from .exchanges import with_endpoint
 
+_PLAIN = "exchanges.ndjson"
 _IGNORE = "# recordings hold real captured payloads.\n*\n"
 EXCHANGE = (
     "id string, started_at long, method string, url string, path string, query map<string,array<string>>, req_headers map<string,string>, req_text string, req_json string, "
@@ -53,24 +56,42 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._fs, self._root = log.opened(self.folder)
 
-    def _path(self, *parts: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *parts)))
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+    def _has(self, *parts: str) -> bool:
+        return self._fs.get_file_info("/".join((self._root, *parts))).type != pafs.FileType.NotFound
 
     def _write(self, text: str, *parts: str, replace: bool = True) -> None:
-        fs, path = self._path(*parts)
-        if replace or not fs.exists(path):
-            out = fs.create(path, True)
-            out.write(bytearray(text.encode()))
-            out.close()
+        """Puts a file in place at once, so that no reader sees a part of it."""
+        if not replace and self._has(*parts):
+            return
+        path = "/".join((self._root, *parts))
+        self._fs.create_dir(path.rpartition("/")[0])
+        own = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+        with self._fs.open_output_stream(own) as stream:
+            stream.write(text.encode())
+        self._fs.move(own, path)
+
+    def _text(self, *parts: str) -> str | None:
+        try:
+            with self._fs.open_input_stream("/".join((self._root, *parts))) as stream:
+                return stream.read().decode()
+        except FileNotFoundError:
+            return None
+
+    def log(self, name: str) -> log.Log:
+        return log.Log(f"{self.folder}/{name}")
 
     def meta(self, name: str) -> dict | None:
-        fs, path = self._path(name, "meta.json")
-        if not fs.exists(path):
+        """A recording's metadata; count and time are those of its log, where it has one."""
+        text = self._text(name, "meta.json")
+        if text is None:
             return None
-        return json.loads("\n".join(r["value"] for r in self.spark.read.text(path.toString()).collect()))
+        meta = json.loads(text)
+        own = self.log(name)
+        if isinstance(meta, dict) and own.entries():
+            meta |= {"exchangeCount": own.count(), "updatedAt": max(meta.get("updatedAt") or 0, own.updated())}
+        return meta
 
     def init(self, name: str, target: str) -> dict:
         """Creates a recording, or opens one: that keeps its exchanges, createdAt and count."""
@@ -78,15 +99,20 @@ class Store:
         now = int(time.time() * 1000)
         meta = (self.meta(name) or {"name": name, "target": target, "createdAt": now, "updatedAt": now, "exchangeCount": 0}) | {"target": target, "updatedAt": now}
         self._write(json.dumps(meta, indent=2), name, "meta.json")
-        self._path(name, "exchanges")[0].mkdirs(self._path(name, "exchanges")[1])
         return meta
 
     def append(self, name: str, exchanges: DataFrame, batch: str | None = None) -> dict:
-        """Appends exchanges (``EXCHANGE`` and ord); a ``batch`` that is there already replaces itself, so a repeated append adds nothing.
+        """Appends exchanges (``EXCHANGE`` and ord) whole or not at all; a ``batch`` that is there already adds nothing.
 
-        Each append is a folder of its own, written whole or not at all; the count is taken from the log.
+        Appends may run side by side.  What is written is counted as it is written; the log isn't read.
         """
-        meta = self.meta(name) or self.init(name, "")
+        if self.meta(name) is None:
+            self.init(name, "")
+        own = self.log(name)
+        if not own.entries() and self._has(name, _PLAIN):
+            log.append(self.lines(name).repartitionByRange("ord").sortWithinPartitions("ord"), f"{self.folder}/{name}", _PLAIN)
+        if batch is not None and own.has(batch):
+            return self.meta(name)
         request = F.struct("method", "url", "path", F.coalesce("query", F.create_map()).alias("query"), F.coalesce("req_headers", F.create_map()).alias("headers"))
         parts = [F.to_json(F.struct("id", F.col("started_at").alias("startedAt"))), F.to_json(request), F.to_json(F.struct("status", F.coalesce("res_headers", F.create_map()).alias("headers"), F.col("duration_ms").alias("durationMs")))]
 
@@ -97,17 +123,21 @@ class Store:
 
         head = F.substring(parts[0], F.lit(1), F.length(parts[0]) - 1)
         line = F.concat(head, F.lit(',"request":'), with_body(parts[1], "req_text", "req_json"), F.lit(',"response":'), with_body(parts[2], "res_text", "res_json"), F.lit("}"))
-        ordered = exchanges.select("ord", line.alias("line")).repartitionByRange("ord").sortWithinPartitions("ord").select("line")
-        ordered.write.mode("overwrite").text(f"{self.folder}/{name}/exchanges/batch={batch or f'{time.time_ns():020d}-{uuid.uuid4().hex}'}")
-        meta |= {"updatedAt": int(time.time() * 1000), "exchangeCount": self.lines(name).count()}
-        self._write(json.dumps(meta, indent=2), name, "meta.json")
-        return meta
+        ordered = exchanges.select("ord", line.alias("text")).repartitionByRange("ord").sortWithinPartitions("ord")
+        log.append(ordered, f"{self.folder}/{name}", batch or f"{time.time_ns():020d}-{uuid.uuid4().hex}")
+        return self.meta(name)
 
     def lines(self, name: str) -> DataFrame:
-        """(text, ord) of a log: order is that of the files' names and of the place in a file, however files are split."""
-        fs, single = self._path(name, "exchanges.ndjson")
-        source = single.toString() if fs.exists(single) else f"{self.folder}/{name}/exchanges"
-        return read_lines(self.spark, source)
+        """(text, ord) of a recording, ``ord`` being gapless."""
+        if self.log(name).entries():
+            return log.lines(self.spark, f"{self.folder}/{name}")
+        if not self._has(name, _PLAIN):
+            return self.spark.createDataFrame([], log.LINES)
+        return read_lines(self.spark, f"{self.folder}/{name}/{_PLAIN}")
+
+    def stream(self, name: str) -> DataFrame:
+        """A recording's exchanges as a stream of what is appended."""
+        return exchanges_of(log.line_stream(self.spark, f"{self.folder}/{name}"))
 
     def load(self, name: str) -> DataFrame:
         """A recording's exchanges; an error where there is no recording."""
@@ -117,8 +147,8 @@ class Store:
 
     def list(self) -> DataFrame:
         """Metadata of all recordings, the last updated first; folders without metadata are no recordings."""
-        fs, path = self._path()
-        folders = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+        inside = self._fs.get_file_info(pafs.FileSelector(self._root, allow_not_found=True))
+        folders = [i.base_name for i in inside if i.type == pafs.FileType.Directory]
         found = [m for f in folders if (m := self._try_meta(f)) is not None]
         rows = [(m.get("name"), m.get("target"), m.get("createdAt"), m.get("updatedAt"), m.get("exchangeCount")) for m in found]
         return self.spark.createDataFrame(rows, META).orderBy(F.desc("updatedAt"))
@@ -131,8 +161,8 @@ class Store:
         return found if isinstance(found, dict) else None
 
     def remove(self, name: str) -> None:
-        fs, path = self._path(name)
-        fs.delete(path, True)
+        if self._has(name):
+            self._fs.delete_dir(f"{self._root}/{name}")
 
     def model(self, name: str, options: M.Options = M.Options()) -> M.Model:
         meta = self.meta(name) or {}
