@@ -11,7 +11,9 @@ about proportional to its length.
 
 Texts are cut at the library's special strings and at white space; normalising and
 cutting into words are those of the tokenizer's own components, once for each distinct
-stretch between white space.
+stretch between white space.  Texts are taken in pieces that end at white space, a few hundred thousand
+characters at a time; what is kept of stretches is counted in bytes and given up before it exceeds
+``STORE_BYTES``, so memory follows neither the length of a text nor the number of distinct words.
 
 Defined cases: a null or blank text has no ids and decodes to the empty text; repeated
 rows each get their row; an empty table gives an empty table; extra columns are ignored.
@@ -27,12 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STORE = 180_000
+#: Bytes that what is kept of stretches and words may take, and what each is taken to need besides its characters.
+STORE_BYTES, ENTRY_BYTES = 120_000_000, 640
 LONG_WORD = 64
-SLICE_ROWS = 200
+#: Characters of texts whose stretches are learned together, rows and bytes of a batch of results.
+PIECE, SLICE_ROWS, SLICE_BYTES = 1 << 18, 1000, 1 << 22
+_GAP = re.compile("[ \n]")
 #: Unicode's white space, which the tokenizer's \s matches.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _SPACES = re.compile(f"[{SPACE}]+")
@@ -101,7 +107,8 @@ class SpeculativeBPE:
         self._longest = max(map(len, self._known))
         self._store: dict[str, tuple[bytes, str]] = {}
         self._words: dict[str, list[int]] = {}
-        self.guesses = self.merged = 0
+        self._whole = any(c.isspace() for t in self._special for c in t)  # a special string with a gap could be cut
+        self.held = self.guesses = self.merged = 0
 
     def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self._size + b
@@ -260,6 +267,14 @@ class SpeculativeBPE:
         for s, ws in zip(stretches, cut, strict=True):
             ids = [i for w in ws for i in self._words[w]]
             self._store[s] = (np.array(ids, "<u4").tobytes(), "".join(" " + self.text_of[i] for i in ids))
+        self.held += ENTRY_BYTES * len(stretches) + 8 * sum(map(len, stretches)) + 24 * sum(len(self._words[w]) for w in new)
+
+    def _forget(self) -> None:
+        self._store.clear()
+        self._words.clear()
+        self.held = 0
+        for s, i in self._special.items():
+            self._store[s] = (np.array([i], "<u4").tobytes(), " " + s)
 
     def _stretches(self, text: str) -> list[str]:
         """White-space-free stretches; a special string is one of its own."""
@@ -274,20 +289,65 @@ class SpeculativeBPE:
                 out.append(special[k])
         return out
 
+    def _pieces(self, text: str) -> Iterator[str]:
+        lo = 0
+        while len(text) - lo > PIECE and not self._whole and (gap := _GAP.search(text, lo + PIECE)):
+            yield text[lo : gap.start()]
+            lo = gap.end()
+        yield text[lo:] if lo else text
+
+    def parts(self, texts: list[str | None]) -> Iterator[tuple[int, bytes, str]]:
+        """(number of the text, ids as little-endian 32-bit integers, decoded text with a blank before each token) of consecutive pieces."""
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for piece in self._pieces(text) if text else ():
+                held.append((k, self._stretches(piece)))
+                size += len(piece)
+                if size >= PIECE:
+                    yield from self._encoded(held)
+                    held, size = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes, str]]:
+        if not self._store or self.held > STORE_BYTES:
+            self._forget()
+        self._learn(list({s for _, ss in held for s in ss if s not in self._store}))
+        for k, ss in held:
+            found = [self._store[s] for s in ss]
+            yield k, b"".join([f[0] for f in found]), "".join([f[1] for f in found])
+
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Of each text the ids as little-endian 32-bit integers, and the decoded text."""
-        if len(self._store) > STORE:
-            self._store.clear()
-            self._words.clear()
-        for s, i in self._special.items():
-            self._store[s] = (np.array([i], "<u4").tobytes(), " " + s)
-        cut = [self._stretches(t) if t else [] for t in texts]
-        self._learn(list({s for ss in cut for s in ss if s not in self._store}))
-        out = []
-        for ss in cut:
-            found = [self._store[s] for s in ss]
-            out.append((b"".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]))
-        return out
+        ids: list[list[bytes]] = [[] for _ in texts]
+        decoded: list[list[str]] = [[] for _ in texts]
+        for k, i, t in self.parts(texts):
+            ids[k].append(i)
+            decoded[k].append(t)
+        return [(b"".join(i), "".join(t)[1:]) for i, t in zip(ids, decoded, strict=True)]
+
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Of each text the number of ids, and the digests of what ``encode`` gives; no long text's ids are held together."""
+        count, begun = [0] * len(texts), [False] * len(texts)
+        ids, decoded = [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
+        for k, i, t in self.parts(texts):
+            count[k] += len(i) // 4
+            ids[k].update(i)
+            decoded[k].update((t if begun[k] else t[1:]).encode())
+            begun[k] |= bool(t)
+        return [(n, i.hexdigest(), t.hexdigest()) for n, i, t in zip(count, ids, decoded, strict=True)]
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of at most ``SLICE_ROWS`` rows and, but for longer texts, ``SLICE_BYTES``."""
+    lo = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if i > lo and (size + n > SLICE_BYTES or i - lo == SLICE_ROWS):
+            yield lo, i
+            lo, size = i, 0
+        size += n
+    if lo < len(column):
+        yield lo, len(column)
 
 
 def encode_texts(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), values: bool = False) -> DataFrame:
@@ -299,16 +359,15 @@ def encode_texts(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = SpeculativeBPE(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(lo, SLICE_ROWS)
-                found = coder.encode(part.column("text").to_pylist())
-                columns = [part.column(c) for c in keep]
-                columns.append(pa.array([len(i) // 4 for i, _ in found], pa.int64()))
-                columns.append(pa.array([hashlib.sha256(i).hexdigest() for i, _ in found], pa.string()))
-                columns.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in found], pa.string()))
-                names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
+            for lo, hi in _slices(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                texts = part.column("text").to_pylist()
+                columns, names = [part.column(c) for c in keep], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
+                found = coder.digests(texts)
+                columns += [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
                 if values:
-                    columns += [pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([t for _, t in found], pa.string())]
+                    whole = coder.encode(texts)
+                    columns += [pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in whole], pa.list_(pa.int32())), pa.array([t for _, t in whole], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
