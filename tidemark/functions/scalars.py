@@ -263,7 +263,7 @@ def response_suffix(status: Column, success: Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """The scalar functions for SQL, as SQL functions that Spark inlines into the query, and the table function ``json_nodes``."""
+    """The scalar functions for SQL, as SQL functions that Spark inlines into the query, and the table functions ``json_nodes`` and ``json_nodes_of``."""
     uuid = formats.UUID
     rule = lambda pattern: formats.whole(pattern).replace("\\", "\\\\").replace("'", "\\'")
     mask = " + ".join(
@@ -285,10 +285,14 @@ def register(spark: SparkSession) -> None:
     for signature, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
     spark.udtf.register("json_nodes", json_nodes())
+    spark.udtf.register("json_nodes_of", json_nodes_of())
+
+
+_NODE = "path string, parent string, key string, family string, is_int boolean, fmt_mask int, sval string, pos int"
 
 
 def json_nodes():
-    """A table function: the nodes of a JSON text (path, parent, key, family, is_int, fmt_mask, sval, pos)."""
+    """A table function for lateral use: the nodes of a JSON text (path, parent, key, family, is_int, fmt_mask, sval, pos), sent and received in Arrow batches."""
     from pyspark.sql.functions import udtf
 
     class Nodes:
@@ -301,4 +305,38 @@ def json_nodes():
                 except ValueError:
                     return
 
-    return udtf(Nodes, returnType="path string, parent string, key string, family string, is_int boolean, fmt_mask int, sval string, pos int")
+    return udtf(Nodes, returnType=_NODE, useArrow=True)
+
+
+def json_nodes_of():
+    """A table function of a whole table (its first column names the text, its second is the text): every text's nodes under its name.
+
+    ``SELECT * FROM json_nodes_of(TABLE(SELECT id, body FROM t))``; Arrow batches go in and come out, without a call for each row.
+    """
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udtf
+
+    kinds = {"id": pa.string(), "path": pa.string(), "parent": pa.string(), "key": pa.string(), "family": pa.string(), "is_int": pa.bool_(), "fmt_mask": pa.int32(), "sval": pa.string(), "pos": pa.int32()}
+
+    @arrow_udtf(returnType="id string, " + _NODE)
+    class Nodes:
+        def eval(self, batch: pa.RecordBatch):
+            from tidemark.operators.shapes import walk
+
+            rows: list[tuple] = []
+            for name, body in zip(batch.column(0).cast(pa.string()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows += [(name, *node) for node in walk(body)] if body is not None else []
+                except ValueError:
+                    continue
+                if len(rows) >= 10_000:
+                    yield self.table(rows)
+                    rows = []
+            if rows:
+                yield self.table(rows)
+
+        @staticmethod
+        def table(rows):
+            return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds.items(), zip(*rows, strict=True), strict=True)})
+
+    return Nodes

@@ -233,16 +233,10 @@ def files(model: Model, targets: Sequence[str] = TARGETS, banner: str = BANNER,
 
 
 def write_files(found: DataFrame, folder: str) -> list[str]:
-    """Writes ``files`` under a local folder; returns the paths.  A file at a time passes through the driver."""
-    from pathlib import Path
-
-    written = []
-    for row in found.toLocalIterator():
-        path = Path(folder) / row["path"]
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(row["content"], encoding="utf-8")
-        written.append(str(path))
-    return written
+    """Writes ``files`` under a folder, by the tasks that have them; returns the paths."""
+    from ..sources import files as sink
+
+    return sink.write(kept(found), folder)
 
 
 def openapi(exchanges: DataFrame, variants: DataFrame) -> DataFrame:

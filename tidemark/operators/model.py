@@ -50,13 +50,28 @@ class Model:
     generated_at: int = 0
 
 
+#: Lanes of 32 bits that a digest is cut into where digests of a set of any size are added up.
+LANES = 8
+
+
+def _digest(*parts) -> Column:
+    """SHA-256 of the parts, each preceded by its length so that no two lists of parts read alike."""
+    texts = [F.coalesce((F.lit(x) if isinstance(x, str) else x).cast("string"), F.lit("\x00")) for x in parts]
+    return F.sha2(F.concat(*[F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts]), 256)
+
+
+def _lane(digest: Column, i: int) -> Column:
+    return F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
+
+
 def _kids(positions: DataFrame) -> DataFrame:
-    """For each object or array: how many keys it has, their least and greatest signature, the first key, and a sum of all."""
+    """For each object or array: how many keys it has, their least and greatest signature, the first key, and ``all_keys``, which identifies
+    the set of keys with their shapes: sums of the 32-bit lanes of a 256-bit digest of each, so no list of keys is made."""
     keyed = F.col("key").isNotNull()
-    mixed = F.xxhash64("key", "optional", "sig")
-    return positions.groupBy(*SHAPE, F.col("parent").alias("path")).agg(
+    entry = positions.withColumn("entry", F.when(keyed, _digest(F.col("key"), F.col("optional"), F.col("sig"))))
+    return entry.groupBy(*SHAPE, F.col("parent").alias("path")).agg(
         F.count_if(keyed).alias("n_keys"), F.min(F.when(keyed, F.col("sig"))).alias("low"), F.max(F.when(keyed, F.col("sig"))).alias("high"),
-        F.min_by(F.when(keyed, F.col("key")), F.when(keyed, F.col("first"))).alias("first_key"), F.sum(F.when(keyed, mixed % 2**31)).alias("all_keys"), F.max(F.when(~keyed, F.col("sig"))).alias("element"),
+        F.min_by(F.when(keyed, F.col("key")), F.when(keyed, F.col("first"))).alias("first_key"), F.concat_ws(",", *[F.sum(_lane(F.col("entry"), i)) for i in range(LANES)]).alias("all_keys"), F.max(F.when(~keyed, F.col("sig"))).alias("element"),
     )
 
 
@@ -77,8 +92,8 @@ def _positions(places: DataFrame) -> DataFrame:
 def dictionaries(places: DataFrame, least: int = shapes.RECORD_KEYS) -> DataFrame:
     """(endpoint, slot, status, path, n_keys, first_key) of objects with at least ``least`` keys, all of one shape.
 
-    From the deepest places to the root, each place gets a signature from those below it; every step is one
-    aggregate, so an object's keys are never listed, however many there are.
+    From the deepest places to the root, each place gets a signature of 256 bits from those below it, as in a Merkle tree; every step
+    is one aggregate, so an object's keys are never listed, however many there are.
     """
     big = places.where("key is not null").select(*SHAPE, "parent", "key").distinct().groupBy(*SHAPE, F.col("parent").alias("path")).agg(F.count(F.lit(1)).alias("n_keys")).where(F.col("n_keys") >= least)
     none = places.select(*SHAPE, "path", F.lit(0).cast("long").alias("n_keys"), "key").withColumnRenamed("key", "first_key").where("false")
@@ -90,18 +105,17 @@ def dictionaries(places: DataFrame, least: int = shapes.RECORD_KEYS) -> DataFram
     for depth in range(deepest, -1, -1):
         here = places.where(F.col("depth") == depth)
         if kids is None:
-            here = here.select(*SHAPE, "path", "family", "all_int", "fmt_mask", *[F.lit(None).cast(t).alias(c) for c, t in (("n_keys", "long"), ("low", "long"), ("high", "long"), ("first_key", "string"), ("all_keys", "long"), ("element", "long"))])
+            here = here.select(*SHAPE, "path", "family", "all_int", "fmt_mask", *[F.lit(None).cast(t).alias(c) for c, t in (("n_keys", "long"), ("low", "string"), ("high", "string"), ("first_key", "string"), ("all_keys", "string"), ("element", "string"))])
         else:
             here = here.join(kids, [*SHAPE, "path"], "left").select(*SHAPE, "path", "family", "all_int", "fmt_mask", *[c for c in kids.columns if c not in (*SHAPE, "path")])
         root_query = (F.col("slot") == "query") & (F.col("path") == "")
         is_record = (F.col("family") == "object") & (F.col("n_keys") >= least) & (F.col("low") == F.col("high")) & ~root_query
-        zero = F.lit(0).cast("long")
-        sig = F.when(is_record, F.xxhash64(F.lit("record"), "low")).when(F.col("family") == "object", F.xxhash64(F.lit("object"), F.coalesce("n_keys", zero), F.coalesce("all_keys", zero)))
-        sig = sig.when(F.col("family") == "array", F.xxhash64(F.lit("array"), F.coalesce("element", zero))).otherwise(F.xxhash64("family", F.coalesce("all_int", F.lit(True)), F.coalesce("fmt_mask", F.lit(0))))
+        sig = F.when(is_record, _digest("record", F.col("low"))).when(F.col("family") == "object", _digest("object", F.coalesce("n_keys", F.lit(0)), F.col("all_keys")))
+        sig = sig.when(F.col("family") == "array", _digest("array", F.col("element"))).otherwise(_digest(F.col("family"), F.coalesce("all_int", F.lit(True)), F.coalesce("fmt_mask", F.lit(0))))
         here = kept(here.select(*SHAPE, "path", sig.alias("sig"), is_record.alias("is_record"), "n_keys", "first_key"))
         found = found.union(here.where("is_record").select(*SHAPE, "path", "n_keys", "first_key"))
         if depth:
-            whole = here.groupBy(*SHAPE, "path").agg(F.xxhash64(F.sum(F.col("sig") % 2**31), F.count(F.lit(1))).alias("sig"))
+            whole = here.groupBy(*SHAPE, "path").agg(_digest(F.array_join(F.sort_array(F.collect_list("sig")), ",")).alias("sig"))  # one of each kind of value
             kids = kept(_kids(positions.where(F.col("depth") == depth).join(whole, [*SHAPE, "path"])))
     return kept(found)
 

@@ -24,6 +24,12 @@ from ..tables import kept, spread
 
 SEP = "\x1f"
 ENUM_MAX, ENUM_MIN, RECORD_KEYS = 8, 4, 12
+#: Levels of nesting that a body may have; a deeper one is refused and counted.  Types are drawn and dictionaries found level by level,
+#: and a place's name grows with its depth.
+MAX_DEPTH = 200
+#: The kind under which refused bodies are counted, at the root of their shape.
+REFUSED = "refused"
+_DEEP = object()
 SLOTS = ("response", "request", "query")
 OBS = "endpoint string, status int, ord long, path string, parent string, key string, family string, is_int boolean, fmt_mask int, sval string, pos int"
 VALUES = "array<struct<v:string,n:long,ord:long,pos:int>>"
@@ -71,12 +77,36 @@ def _constant(name: str):
 _parse = json.JSONDecoder(parse_constant=_constant).decode
 
 
+class TooDeep(ValueError):
+    """JSON that is nested beyond ``MAX_DEPTH``."""
+
+
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.DOTALL)
+
+
+def nesting(text: str, most: int = MAX_DEPTH) -> int:
+    """How deep brackets nest outside strings; counting ends beyond ``most``."""
+    depth = deepest = 0
+    for found in _MARKS.finditer(text):
+        mark = found[0]
+        if mark in "[{":
+            depth += 1
+            deepest = max(deepest, depth)
+            if deepest > most:
+                break
+        elif mark in "]}":
+            depth -= 1
+    return deepest
+
+
 def parse(text: str):
-    """A JSON text's value; ValueError where it has none."""
-    try:
-        return _parse(text)
-    except RecursionError as error:
-        raise ValueError("nested too deeply") from error
+    """A JSON text's value; ValueError where it has none, ``TooDeep`` where it nests beyond ``MAX_DEPTH``.
+
+    The depth is counted without recursion, and only where there are brackets enough.
+    """
+    if text.count("[") + text.count("{") > MAX_DEPTH and nesting(text) > MAX_DEPTH:
+        raise TooDeep(f"nested deeper than {MAX_DEPTH} levels")
+    return _parse(text)
 
 
 def _clean(text: str) -> str:
@@ -185,6 +215,12 @@ class _Place:
                 todo.extend([(inner, v) for v in reversed(value)])
             pos += 1
 
+    def refuse(self, ord_: int) -> None:
+        """Counts a body that isn't read."""
+        now = self.seen.setdefault(REFUSED, [0, True, -1, ord_, 0, None])
+        now[0] += 1
+        now[3] = min(now[3], ord_)
+
     def rows(self) -> Iterator[tuple]:
         todo = [self]
         while todo:
@@ -212,12 +248,17 @@ def walked(bodies: DataFrame) -> DataFrame:
                         continue
                     try:
                         found = parse(body)
+                    except TooDeep:
+                        found = _DEEP
                     except ValueError:
                         continue
                     root = roots.get((endpoint, slot, status))
                     if root is None:
                         root = roots[endpoint, slot, status] = _Place("", None, None, 0)
-                    root.take(found, ord_)
+                    if found is _DEEP:
+                        root.refuse(ord_)
+                    else:
+                        root.take(found, ord_)
             rows = [(*key, *row) for key, root in roots.items() for row in root.rows()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -241,7 +282,12 @@ def places(parts: DataFrame) -> DataFrame:
     """A row for each (shape, place, kind of value), with ``first``, when it was first seen."""
     on = [*SHAPE, "path", "parent", "key", "depth", "family"]
     seen = F.min(F.struct(F.col("first_ord").alias("ord"), F.col("first_pos").alias("pos")))
-    return parts.groupBy(*on).agg(F.sum("n").alias("samples"), F.bool_and("all_int").alias("all_int"), F.bit_and("fmt_mask").alias("fmt_mask"), seen.alias("first"))
+    return parts.where(F.col("family") != REFUSED).groupBy(*on).agg(F.sum("n").alias("samples"), F.bool_and("all_int").alias("all_int"), F.bit_and("fmt_mask").alias("fmt_mask"), seen.alias("first"))
+
+
+def refused(parts: DataFrame) -> DataFrame:
+    """(endpoint, slot, status, n) of bodies that were refused for their depth."""
+    return parts.where(F.col("family") == REFUSED).groupBy(*SHAPE).agg(F.sum("n").alias("n"))
 
 
 def nodes(parts: DataFrame) -> DataFrame:

@@ -139,6 +139,8 @@ def _zod_union(parts: list[dict], depth: int) -> str:
     rest = [v for v in parts if v["kind"] != "null"]
     if len(rest) == 1 and len(rest) < len(parts):
         return zod(rest[0], depth) + ".nullable()"
+    if len(parts) == 1:
+        return zod(parts[0], depth)
     return "z.union([" + ", ".join(zod(v, depth) for v in parts) + "])" if parts else "z.never()"
 
 

@@ -6,13 +6,13 @@ with a plain ``exchanges.ndjson`` that something else has recorded is a recordin
 
 from __future__ import annotations
 
-import gzip
 import json
 import time
 import uuid
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -200,24 +200,44 @@ def capture(raw: DataFrame, cap: int = 1 << 20, redact: tuple[str, ...] = S.REDA
     )
 
 
-def decode_content(body: Column, encoding: Column) -> Column:
-    """Bytes of a gzip or deflate body; others, and what can't be decoded, as they are."""
-    def one(raw, name):
-        kind = (name or "").strip().lower()
-        try:
-            if kind in ("gzip", "x-gzip"):
-                return gzip.decompress(raw)
-            if kind == "deflate":
-                try:
-                    return zlib.decompress(raw)
-                except zlib.error:
-                    return zlib.decompress(raw, -zlib.MAX_WBITS)
-        except (OSError, EOFError, zlib.error):
-            pass
+#: What a body may grow to when it is inflated, unless told otherwise.
+INFLATED = 64 << 20
+_CODECS = {"gzip": "gzip", "x-gzip": "gzip", "br": "brotli"}
+
+
+def _inflated(raw: bytes, name: str | None, most: int) -> bytes:
+    """The decoded body; ``raw`` where the encoding is another, the bytes aren't of it, or they would grow beyond ``most``."""
+    kind = (name or "").strip().lower()
+    if kind == "deflate":
+        for bits in (zlib.MAX_WBITS, -zlib.MAX_WBITS):
+            stream = zlib.decompressobj(bits)
+            try:
+                found = stream.decompress(raw, most + 1)
+            except zlib.error:
+                continue
+            return found if stream.eof and len(found) <= most else raw
+        return raw
+    if kind not in _CODECS:
         return raw
+    try:
+        out, size = [], 0
+        with pa.CompressedInputStream(pa.BufferReader(raw), _CODECS[kind]) as stream:
+            while part := stream.read(min(1 << 16, most + 1 - size)):
+                out.append(part)
+                size += len(part)
+                if size > most:
+                    return raw
+        return b"".join(out)
+    except OSError:
+        return raw
+
+
+def decode_content(body: Column, encoding: Column, most: int = INFLATED) -> Column:
+    """Bytes of a gzip, brotli or deflate body, inflated as a stream; others, what can't be decoded, and what
+    would take more than ``most`` bytes, as they are."""
 
     def run(bodies: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else one(b, n) for b, n in zip(bodies, names, strict=True)], dtype=object)
+        return pd.Series([None if b is None else _inflated(b, n, most) for b, n in zip(bodies, names, strict=True)], dtype=object)
 
     return pandas_udf(run, "binary")(body, encoding)
 
