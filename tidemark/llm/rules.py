@@ -120,7 +120,10 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     d = d.withColumn("class_distance", F.when(F.length("t") >= MIN_CLASS_CHARS, distance(F.col("classes"), F.col("ref_classes"))))
     d = d.withColumn("word_distance", F.when((F.col("n_words") >= MIN_COMMON_WORDS) & (F.size("ref_words") > 0), distance(F.col("counts"), F.col("ref_counts"))))
     far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
-    return d.select(
+    # a generator of one row: conditions on the verdict stay above it; pushed below, they would put every
+    # step of the signals into one expression and compute it again and again
+    row = F.struct(
         "doc_id", "lang", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "class_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"),
     )
+    return d.select(F.inline(F.array(row)))
