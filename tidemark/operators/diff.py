@@ -8,6 +8,7 @@ of their kind, so each side's second object meets the other's second.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ from .shapes import SEP, SHAPE
 
 RANK = {"breaking": 0, "risky": 1, "info": 2}
 LOW_CONFIDENCE = 3
+#: Groups of rules; ``shapes`` are those of bodies and queries.
+RULES = ("endpoints", "statuses", "params", "shapes")
 COLUMNS = ["severity", "kind", "endpoint", "status", "path", "before", "after", "message", "b_samples", "seq"]
 _ON = [*SHAPE, "path"]
 _NOTES = ["kind", "type", "formats", "enum", "copy", "text"]
@@ -170,9 +173,22 @@ def _variants(pos: DataFrame, va: DataFrame, vb: DataFrame, evidence: Column) ->
     return out.union(_finding(formats.where((F.size("lost") == 0) & (F.size("won") > 0)), "info", "format-changed", F.format_string("Format gained in b (now %s).", F.array_join("fb", ", ")), *text, F.col("ev"), step + 1))
 
 
-def findings(a: Model, b: Model, ignore_unmatched: bool = False) -> DataFrame:
-    """All findings (``COLUMNS``), not yet in order."""
+def findings(a: Model, b: Model, ignore_unmatched: bool = False, rules: Sequence[str] = RULES) -> DataFrame:
+    """All findings (``COLUMNS``) of the given groups of rules, not yet in order."""
     shared = kept(a.endpoints.select("endpoint").distinct().join(b.endpoints.select("endpoint").distinct(), "endpoint"))
+    parts = []
+    if "endpoints" in rules and not ignore_unmatched:
+        parts.append(_endpoints(a, b))
+    if "statuses" in rules:
+        parts.append(_statuses(a, b, shared))
+    if "params" in rules:
+        parts.append(_params(a, b))
+    if "shapes" in rules:
+        parts += _shapes(a, b, shared)
+    return kept(reduce(DataFrame.union, parts))
+
+
+def _shapes(a: Model, b: Model, shared: DataFrame) -> list[DataFrame]:
     (va, pa), (vb, pb) = _side(a, shared), _side(b, shared)
     roots = a.responses.select("endpoint", "status").join(b.responses.select("endpoint", "status", "count"), ["endpoint", "status"])
     named = lambda p, s: p.select(*_ON, "parent", "key", F.lit(True).alias(f"{s}_here"), *[F.col(c).alias(f"{c}_{s}") for c in ("optional", "seen", "nullable", "n", "one", "type", "core_text", "whole_text")])
@@ -188,10 +204,7 @@ def findings(a: Model, b: Model, ignore_unmatched: bool = False) -> DataFrame:
     array_of = lambda v: v.where("kind = 'array'").select(*SHAPE, _base(F.col("path"), F.col("copy")).alias("parent"))
     objects = kept(object_of(vb).join(object_of(va).drop("b_object"), [*SHAPE, "parent"]))
     arrays = array_of(va).join(array_of(vb), [*SHAPE, "parent"])
-    parts = [_statuses(a, b, shared), _alone(pos, objects, arrays, roots, evidence), _compared(pos, objects, evidence), _variants(pos, va, vb, evidence), _params(a, b)]
-    if not ignore_unmatched:
-        parts.insert(0, _endpoints(a, b))
-    return kept(reduce(DataFrame.union, parts))
+    return [_alone(pos, objects, arrays, roots, evidence), _compared(pos, objects, evidence), _variants(pos, va, vb, evidence)]
 
 
 def in_order(found: DataFrame) -> DataFrame:

@@ -182,20 +182,25 @@ def texts(variants: DataFrame) -> DataFrame:
     return variants.groupBy(*SHAPE).applyInPandas(run, TEXTS)
 
 
-def build(exchanges: DataFrame, name: str = "recording", target: str = "", options: Options = Options(), generated_at: int = 0) -> Model:
+def build(exchanges: DataFrame, name: str = "recording", target: str = "", options: Options = Options(), generated_at: int = 0, shaped: bool = True) -> Model:
     """The model of ``exchanges`` (method, pattern, endpoint, params, status, ord, body, content_type; req_body and url where there are)."""
-    return of_state(state.gathered(exchanges), name, target, options, generated_at)
+    return of_state(state.gathered(exchanges), name, target, options, generated_at, shaped)
 
 
-def of_state(s: state.State, name: str = "recording", target: str = "", options: Options = Options(), generated_at: int = 0) -> Model:
-    """The model that a state holds: of one batch, of merged ones, or of a stream so far."""
+def of_state(s: state.State, name: str = "recording", target: str = "", options: Options = Options(), generated_at: int = 0, shaped: bool = True) -> Model:
+    """The model that a state holds: of one batch, of merged ones, or of a stream so far; without ``shaped`` bodies aren't looked at."""
     ends = s.endpoints.select("endpoint", "method", "pattern", F.col("n").alias("samples"), "request_sample")
     ends = ends.withColumn("operation_id", S.operation_name(F.col("method"), F.col("pattern"))).withColumn("type_name", S.type_name(F.col("method"), F.col("pattern")))
     listed = s.samples.groupBy("endpoint", "index").agg(F.transform(F.sort_array(F.collect_list(F.struct("first_ord", "value"))), lambda v: v["value"]).alias("samples"))
     types = s.types.groupBy("endpoint", "status").agg(F.max_by("content_type", F.struct("n", -F.col("first_ord"))).alias("content_type"))
     responses = s.responses.select("endpoint", "status", F.col("n").alias("count"), "sample_body").join(types, ["endpoint", "status"], "left")
     params = s.params.drop("first_ord").join(listed, ["endpoint", "index"])
-    return Model(name, target, kept(ends), kept(params), kept(responses), observed(kept(s.parts), options), generated_at)
+    variants = observed(kept(s.parts), options) if shaped else _no_shapes(ends.sparkSession)
+    return Model(name, target, kept(ends), kept(params), kept(responses), variants, generated_at)
+
+
+def _no_shapes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], VARIANTS)
 
 
 def exchange_ids(exchanges: DataFrame, column: str = "id") -> DataFrame:

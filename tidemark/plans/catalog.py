@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import claims, diff, drift, emit, endpoints, model, reports, shapes
-from ..sources import demo, store
+from ..operators import claims, diff, emit, endpoints, model, reports, shapes
+from ..sources import store
 from ..sources import exchanges as X
 from ..tables import kept, shared_folder
 
@@ -61,8 +61,23 @@ def _side_obs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tuple(shapes.observe(x.select("endpoint", "status", "ord", "body")) for x in _sides(s, d))
 
 
-def _side_models(s: SparkSession, d: str) -> tuple[model.Model, model.Model]:
-    return tuple(model.build(kept(x), name) for x, name in zip(_sides(s, d), ("first half", "second half"), strict=True))
+def _side_models(s: SparkSession, d: str, shaped: bool = True) -> tuple[model.Model, model.Model]:
+    return tuple(model.build(kept(x), name, shaped=shaped) for x, name in zip(_sides(s, d), ("first half", "second half"), strict=True))
+
+
+def drift(*kinds: str) -> Query:
+    """The report's findings of some kinds, with the sentence that says what changed."""
+    groups = {"endpoint-removed": "endpoints", "endpoint-added": "endpoints", "status-removed": "statuses", "status-added": "statuses", "params-changed": "params"}
+    rules = sorted({groups.get(k, "shapes") for k in kinds})
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        found = diff.findings(*_side_models(s, d, "shapes" in rules), rules=rules)
+        return found.where(F.col("kind").isin(*kinds)).select(*_TOLD)
+
+    return run
+
+
+_TOLD = ("severity", "kind", "endpoint", "status", "path", "message", "b_samples")
 
 
 def scan_skip_corrupt(s: SparkSession, d: str) -> DataFrame:
@@ -148,25 +163,41 @@ def drift_unions(s: SparkSession, d: str) -> DataFrame:
     return a.join(b, on, "full_outer").where("n_a is null or n_b is null")
 
 
+def _found(s: SparkSession, d: str) -> DataFrame:
+    return diff.findings(*_side_models(s, d))
+
+
 def drift_findings(s: SparkSession, d: str) -> DataFrame:
     """The whole report's findings, requests, queries, bodies and union variants among them."""
-    return diff.findings(*_side_models(s, d)).select("severity", "kind", "endpoint", "status", "path", "b_samples")
+    return _found(s, d).select("severity", "kind", "endpoint", "status", "path", "b_samples")
 
 
 def drift_texts(s: SparkSession, d: str) -> DataFrame:
     """The report in order, with what each place was and is and a sentence."""
-    return diff.in_order(diff.findings(*_side_models(s, d))).drop("seq")
+    return diff.in_order(_found(s, d)).drop("seq")
 
 
 def drift_counters(s: SparkSession, d: str) -> DataFrame:
-    a, b = _side_models(s, d)
-    return diff.summary(a, b, diff.findings(a, b, ignore_unmatched=True)).select("endpoints_compared", "endpoints_only_in_a", "endpoints_only_in_b")
+    a, b = _side_models(s, d, shaped=False)
+    found = diff.findings(a, b, ignore_unmatched=True, rules=("endpoints", "statuses", "params"))
+    return diff.summary(a, b, found).select("endpoints_compared", "endpoints_only_in_a", "endpoints_only_in_b")
+
+
+def drift_summary(s: SparkSession, d: str) -> DataFrame:
+    """How many findings of each severity and kind, and behind how many of them there are few samples."""
+    return _found(s, d).groupBy("severity", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def low_confidence(s: SparkSession, d: str) -> DataFrame:
     """Findings behind which there are few samples, by kind."""
-    a, b = (model.build(demo.exchanges(s, v), f"v{v}") for v in (1, 2))
-    return diff.findings(a, b).groupBy("severity", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(diff.low_confidence(F.col("b_samples"))).alias("n_low"))
+    few = diff.low_confidence(F.col("b_samples"))
+    return _found(s, d).groupBy("severity", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(few).alias("n_low"))
+
+
+def drift_fail_on(s: SparkSession, d: str) -> DataFrame:
+    """Whether a check at each level fails."""
+    found = _found(s, d)
+    return s.createDataFrame([(level, diff.at_least(found, level)) for level in diff.RANK], "level string, fails boolean")
 
 
 def report_document(how: str) -> Query:
@@ -196,7 +227,11 @@ def claims_drift(s: SparkSession, d: str) -> DataFrame:
 
 
 def claims_refused(s: SparkSession, d: str) -> DataFrame:
-    return claims.extract(s, claim_entries()).not_auditable
+    """Claims on every response that was observed; those on errors have a field that no value fits and are refused."""
+    seen = endpoints.status_counts(_exe(s, d)).withColumn("e", F.split("endpoint", " ", 2)).orderBy("endpoint", "status").collect()
+    schema = lambda status: {"type": "object", "properties": {"at": False if status >= 400 else {"type": "string"}}}
+    entries = [{"method": r["e"][0].lower(), "pattern": r["e"][1], "status": r["status"], "response": schema(r["status"])} for r in seen]
+    return claims.extract(s, entries).not_auditable.select("endpoint", "slot")
 
 
 def api_model(s: SparkSession, d: str) -> DataFrame:
@@ -233,12 +268,6 @@ def recording_catalog(s: SparkSession, d: str) -> DataFrame:
     return found.list().select("name", "target", F.col("exchangeCount").alias("n"))
 
 
-def report(s: SparkSession, d: str) -> DataFrame:
-    # every rule reads both sides: normalize paths and parse bodies once
-    a, b = (kept(x.select("endpoint", "status", "ord", "params", "body")) for x in _sides(s, d))
-    return drift.report(a, b, *(shapes.observe(x) for x in (a, b)))
-
-
 def array_elements(s: SparkSession, d: str) -> DataFrame:
     on = ["endpoint", "status", "path"]
     n = shapes.nodes(_obs(s, d))
@@ -289,19 +318,19 @@ QUERIES: dict[str, Query] = {
     "enum_detection": enum_values,
     "record_detection": record_detection,
     "drift_endpoints": drift_endpoints,
-    "drift_endpoint_removed": lambda s, d: drift.endpoint_drift(*_sides(s, d)).where("kind = 'endpoint-removed'"),
-    "drift_endpoint_added": lambda s, d: drift.endpoint_drift(*_sides(s, d)).where("kind = 'endpoint-added'"),
-    "drift_statuses": lambda s, d: drift.status_drift(*_sides(s, d)),
-    "drift_fields": lambda s, d: drift.field_drift(*_side_obs(s, d)),
-    "drift_params": lambda s, d: drift.param_drift(*_sides(s, d)),
-    "drift_nullability": lambda s, d: drift.nullability_drift(*_side_obs(s, d)),
-    "drift_type_matrix": lambda s, d: drift.type_drift(*_side_obs(s, d)),
-    "drift_enums": lambda s, d: drift.enum_drift(*_side_obs(s, d)),
-    "drift_formats": lambda s, d: drift.format_drift(*_side_obs(s, d)),
+    "drift_endpoint_removed": drift("endpoint-removed"),
+    "drift_endpoint_added": drift("endpoint-added"),
+    "drift_statuses": drift("status-removed", "status-added"),
+    "drift_fields": drift("field-removed", "field-added", "optionality-changed"),
+    "drift_params": drift("params-changed"),
+    "drift_nullability": drift("nullability-changed"),
+    "drift_type_matrix": drift("type-changed"),
+    "drift_enums": drift("enum-values-changed"),
+    "drift_formats": drift("format-changed"),
     "drift_unions": drift_unions,
-    "drift_summary": lambda s, d: drift.summary(report(s, d)),
-    "drift_report_sorted": report,
-    "drift_fail_on": lambda s, d: drift.fails(report(s, d), "risky"),
+    "drift_summary": drift_summary,
+    "drift_report_sorted": lambda s, d: diff.in_order(_found(s, d)).select(*_TOLD),
+    "drift_fail_on": drift_fail_on,
     "render_types": lambda s, d: emit.render(_variants(s, d), "types"),
     "render_zod": lambda s, d: emit.render(_variants(s, d), "zod"),
     "render_json_schema": lambda s, d: emit.render(_variants(s, d), "json-schema"),

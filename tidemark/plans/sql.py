@@ -61,61 +61,76 @@ _E = EXE + ",\n" + norm("exe")
 _T = "WITH " + _E + ",\n" + tree("x_exe", "t")
 _D = "WITH " + EXE + ",\n" + SIDES + ",\n" + norm("a0") + ",\n" + norm("b0")
 _DT = _D + ",\n" + tree("x_a0", "a") + ",\n" + tree("x_b0", "b")
-_FIND = "SELECT '{sev}' AS severity, '{kind}' AS kind"
 _PATHS = "(SELECT a_types.*, b_types.nullable AS nb, b_types.type AS tb, b_types.mask AS mb, b_types.samples AS sb FROM a_types JOIN b_types USING (endpoint, status, path))"
 
 
-def _finding(severity: str, kind: str, source: str, where: str, status: str = "NULL", path: str = "NULL", before: str = "NULL", after: str = "NULL", samples: str = "NULL") -> str:
-    return f"SELECT {severity} AS severity, '{kind}' AS kind, endpoint, CAST({status} AS INTEGER) AS status, CAST({path} AS VARCHAR) AS path, CAST({before} AS VARCHAR) AS before, CAST({after} AS VARCHAR) AS after, CAST({samples} AS BIGINT) AS b_samples FROM {source} WHERE {where}"
+def _finding(severity: str, kind: str, source: str, where: str, message: str, status: str = "NULL", path: str = "NULL", samples: str = "NULL") -> str:
+    place = f"nullif(regexp_replace(CAST({path} AS VARCHAR), '^[$][.]?', ''), '')"
+    return f"SELECT {severity} AS severity, '{kind}' AS kind, endpoint, CAST({status} AS INTEGER) AS status, {place} AS path, {message} AS message, CAST({samples} AS BIGINT) AS b_samples FROM {source} WHERE {where}"
 
 
 _ENDPOINTS = [
-    _finding("'breaking'", "endpoint-removed", "(SELECT DISTINCT endpoint FROM x_a0)", "endpoint NOT IN (SELECT endpoint FROM x_b0)"),
-    _finding("'info'", "endpoint-added", "(SELECT endpoint, count(*) AS n FROM x_b0 GROUP BY 1)", "endpoint NOT IN (SELECT endpoint FROM x_a0)", samples="n"),
+    _finding("'breaking'", "endpoint-removed", "(SELECT DISTINCT endpoint FROM x_a0)", "endpoint NOT IN (SELECT endpoint FROM x_b0)", "'Endpoint ' || endpoint || ' was removed (present in a, absent in b).'"),
+    _finding("'info'", "endpoint-added", "(SELECT DISTINCT endpoint FROM x_b0)", "endpoint NOT IN (SELECT endpoint FROM x_a0)", "'Endpoint ' || endpoint || ' was added (absent in a, present in b).'"),
 ]
-_ST = "(SELECT endpoint, status, count(*) AS n FROM {x} WHERE endpoint IN (SELECT endpoint FROM {y}) GROUP BY ALL)"
+_ST = "(SELECT DISTINCT endpoint, status FROM {x} WHERE endpoint IN (SELECT endpoint FROM {y}))"
 _STATUSES = [
-    _finding("'risky'", "status-removed", _ST.format(x="x_a0", y="x_b0"), "(endpoint, status) NOT IN (SELECT (endpoint, status) FROM x_b0)", "status"),
-    _finding("'risky'", "status-added", _ST.format(x="x_b0", y="x_a0"), "(endpoint, status) NOT IN (SELECT (endpoint, status) FROM x_a0)", "status", samples="n"),
+    _finding("'risky'", "status-removed", _ST.format(x="x_a0", y="x_b0"), "(endpoint, status) NOT IN (SELECT (endpoint, status) FROM x_b0)", "'Response status ' || status || ' was removed (present in a, absent in b).'", "status"),
+    _finding("'risky'", "status-added", _ST.format(x="x_b0", y="x_a0"), "(endpoint, status) NOT IN (SELECT (endpoint, status) FROM x_a0)", "'Response status ' || status || ' was added (absent in a, present in b).'", "status"),
 ]
 _FS = """(SELECT coalesce(f.endpoint, g.endpoint) AS endpoint, coalesce(f.status, g.status) AS status, coalesce(f.parent, g.parent) AS parent, coalesce(f.key, g.key) AS key, f.optional AS oa, g.optional AS ob, g.seen AS seen, o.samples AS sb
   FROM a_fields f FULL JOIN b_fields g ON f.endpoint = g.endpoint AND f.status = g.status AND f.parent = g.parent AND f.key = g.key
   JOIN b_nodes o ON o.endpoint = coalesce(f.endpoint, g.endpoint) AND o.status = coalesce(f.status, g.status) AND o.path = coalesce(f.parent, g.parent) AND o.family = 'object'
   JOIN a_nodes q ON q.endpoint = o.endpoint AND q.status = o.status AND q.path = o.path AND q.family = 'object')"""
-_PLACE = "parent || '.' || key"
+_PLACE, _FIELD = "parent || '.' || key", "'Field \"' || key || '\" "
 _FIELDS = [
-    _finding("'breaking'", "field-removed", _FS, "ob IS NULL", "status", _PLACE, samples="sb"),
-    _finding("'info'", "field-added", _FS, "oa IS NULL", "status", _PLACE, samples="seen"),
-    _finding("'risky'", "optionality-changed", _FS, "NOT oa AND ob", "status", _PLACE, "'required'", "'optional'", "sb"),
-    _finding("'info'", "optionality-changed", _FS, "oa AND NOT ob", "status", _PLACE, "'optional'", "'required'", "sb"),
+    _finding("'breaking'", "field-removed", _FS, "ob IS NULL", _FIELD + "was removed in b.'", "status", _PLACE, "sb"),
+    _finding("'info'", "field-added", _FS, "oa IS NULL", _FIELD + "was added in b.'", "status", _PLACE, "seen"),
+    _finding("'risky'", "optionality-changed", _FS, "NOT oa AND ob", _FIELD + "became optional in b (was required).'", "status", _PLACE, "sb"),
+    _finding("'info'", "optionality-changed", _FS, "oa AND NOT ob", _FIELD + "became required in b (was optional).'", "status", _PLACE, "sb"),
 ]
-_NULLS = [_finding("CASE WHEN nb THEN 'breaking' ELSE 'info' END", "nullability-changed", _PATHS, "nullable <> nb", "status", "path", "CASE WHEN nullable THEN 'nullable' ELSE 'non-null' END", "CASE WHEN nb THEN 'nullable' ELSE 'non-null' END", "sb")]
-_TYPES = [_finding("CASE WHEN type IN ('integer', 'number') AND tb IN ('integer', 'number') THEN 'info' ELSE 'breaking' END", "type-changed", _PATHS, "type <> tb AND type NOT IN ('union', 'null') AND tb NOT IN ('union', 'null')", "status", "path", "type", "tb", "sb")]
-_FORMATS = [_finding("CASE WHEN (mask & ~mb) <> 0 THEN 'risky' ELSE 'info' END", "format-changed", _PATHS, "type = 'string' AND tb = 'string' AND mask <> mb", "status", "path", "mask", "mb", "sb")]
+_NULLS = [_finding("CASE WHEN nb THEN 'breaking' ELSE 'info' END", "nullability-changed", _PATHS, "nullable <> nb", "CASE WHEN nb THEN 'Became nullable in b (a did not allow null).' ELSE 'Became non-nullable in b (a allowed null).' END", "status", "path", "sb")]
+_ONE = "CASE WHEN {x} IN ('integer', 'number', 'string', 'boolean') THEN 'primitive' ELSE {x} END"
+_TYPES = [
+    _finding(
+        "CASE WHEN type IN ('integer', 'number') AND tb IN ('integer', 'number') THEN 'info' ELSE 'breaking' END", "type-changed", _PATHS, "type <> tb AND type NOT IN ('union', 'null') AND tb NOT IN ('union', 'null')",
+        f"CASE WHEN {_ONE.format(x='type')} = {_ONE.format(x='tb')} THEN 'Primitive type changed from ' || type || ' to ' || tb || '.' ELSE 'Kind changed from ' || {_ONE.format(x='type')} || ' to ' || {_ONE.format(x='tb')} || '.' END", "status", "path", "sb",
+    )
+]
+_NAMES = "coalesce(nullif(concat_ws(', ', {parts}), ''), 'none')"
+_SHOWN = lambda m: _NAMES.format(parts=", ".join(f"CASE WHEN ({m} & {bit}) <> 0 THEN '{name}' END" for name, bit in (("date", 4), ("date-time", 2), ("email", 8), ("uri", 16), ("uuid", 1))))
+_FORMATS = [
+    _finding(
+        "CASE WHEN (mask & ~mb) <> 0 THEN 'risky' ELSE 'info' END", "format-changed", _PATHS, "type = 'string' AND tb = 'string' AND mask <> mb",
+        f"CASE WHEN (mask & ~mb) <> 0 THEN 'Format lost or changed in b (was ' || {_SHOWN('mask')} || ', now ' || {_SHOWN('mb')} || ').' ELSE 'Format gained in b (now ' || {_SHOWN('mb')} || ').' END", "status", "path", "sb",
+    )
+]
 _EN = "(SELECT a.endpoint, a.status, a.path, b.samples AS sb, list_filter(b.vals, lambda v: NOT list_contains(a.vals, v)) AS more, list_filter(a.vals, lambda v: NOT list_contains(b.vals, v)) AS less FROM a_enums a JOIN b_enums b USING (endpoint, status, path))"
 _ENUMS = [
-    _finding("'risky'", "enum-values-changed", _EN, "len(more) > 0", "status", "path", after="array_to_string(more, ',')", samples="sb"),
-    _finding("'info'", "enum-values-changed", _EN, "len(less) > 0", "status", "path", before="array_to_string(less, ',')", samples="sb"),
-    _finding("'risky'", "enum-values-changed", "(SELECT e.*, y.samples AS sb FROM a_enums e JOIN b_types y USING (endpoint, status, path) WHERE y.type = 'string' AND (e.endpoint, e.status, e.path) NOT IN (SELECT (endpoint, status, path) FROM b_enums))", "true", "status", "path", before="array_to_string(vals, ',')", samples="sb"),
+    _finding("'risky'", "enum-values-changed", _EN, "len(more) > 0", "'Enum values added in b: ' || array_to_string(more, ', ') || '.'", "status", "path", "sb"),
+    _finding("'info'", "enum-values-changed", _EN, "len(less) > 0", "'Enum values removed in b: ' || array_to_string(less, ', ') || '.'", "status", "path", "sb"),
+    _finding("'risky'", "enum-values-changed", "(SELECT e.*, y.samples AS sb FROM a_enums e JOIN b_types y USING (endpoint, status, path) WHERE y.type = 'string' AND (e.endpoint, e.status, e.path) NOT IN (SELECT (endpoint, status, path) FROM b_enums))", "true", "'Enum in a became an open primitive in b (closed set opened).'", "status", "path", "sb"),
 ]
 _PF = "(SELECT endpoint, i - 1 AS idx, arg_min(name, ord) AS name, arg_min(kind, ord) AS f FROM x_{s} JOIN seg_{s} USING (path) WHERE kind <> 'literal' GROUP BY ALL)"
-_PARAMS = [_finding("'risky'", "params-changed", f"(SELECT p.endpoint, p.name, p.f, q.f AS fb FROM {_PF.format(s='a0')} p JOIN {_PF.format(s='b0')} q USING (endpoint, name))", "f <> fb", path="name", before="f", after="fb")]
-_ALL = _ENDPOINTS + _STATUSES + _PARAMS + _FIELDS + _NULLS + _TYPES + _FORMATS + _ENUMS
+_PARAMS = [_finding("'risky'", "params-changed", f"(SELECT p.endpoint, p.name, p.f, q.f AS fb FROM {_PF.format(s='a0')} p JOIN {_PF.format(s='b0')} q USING (endpoint, name))", "f <> fb", "'Path param \"' || name || '\" format changed from ' || f || ' to ' || fb || '.'", path="name")]
 
 
 _CORE = "(SELECT endpoint, status, path, CASE WHEN family = 'num' THEN CASE WHEN all_int THEN 'integer' ELSE 'number' END ELSE family END AS meet, count(*) OVER (PARTITION BY endpoint, status, path) AS k FROM {t}_nodes WHERE family <> 'null')"
-_VARIANTS = "(SELECT x.endpoint, x.status, x.path, (SELECT sum(samples) FROM b_nodes n WHERE n.endpoint = x.endpoint AND n.status = x.status AND n.path = x.path) AS sb FROM {x} x JOIN (SELECT DISTINCT endpoint, status, path, k FROM {y}) y USING (endpoint, status, path) WHERE (x.k > 1 OR y.k > 1) AND (x.endpoint, x.status, x.path, x.meet) NOT IN (SELECT (endpoint, status, path, meet) FROM {y}))"
+_VARIANTS = "(SELECT x.endpoint, x.status, x.path, x.meet, (SELECT sum(samples) FROM b_nodes n WHERE n.endpoint = x.endpoint AND n.status = x.status AND n.path = x.path) AS sb FROM {x} x JOIN (SELECT DISTINCT endpoint, status, path, k FROM {y}) y USING (endpoint, status, path) WHERE (x.k > 1 OR y.k > 1) AND (x.endpoint, x.status, x.path, x.meet) NOT IN (SELECT (endpoint, status, path, meet) FROM {y}))"
 _HAS = "(SELECT DISTINCT endpoint FROM x_{x} WHERE {what} AND endpoint IN (SELECT endpoint FROM x_{y}) AND endpoint NOT IN (SELECT endpoint FROM x_{y} WHERE {what}))"
 _REQ, _QUE = "req_body IS NOT NULL", "contains(url, '?')"
+_BODY_TYPES = [
+    _finding("'breaking'", "type-changed", "(SELECT endpoint, status, count(*) AS n, count(body) AS bodies FROM x_b0 GROUP BY ALL)", "bodies = 0 AND (endpoint, status) IN (SELECT (endpoint, status) FROM x_a0 WHERE body IS NOT NULL)", "'Body was removed in b (present in a).'", "status", samples="n"),
+    _finding("'info'", "type-changed", _VARIANTS.format(x=_CORE.format(t="a"), y=_CORE.format(t="b")), "true", "'Variant \"' || meet || '\" from a is absent in b (type narrowed).'", "status", "path", "sb"),
+    _finding("'risky'", "type-changed", _VARIANTS.format(x=_CORE.format(t="b"), y=_CORE.format(t="a")), "true", "'Variant \"' || meet || '\" appeared in b (type widened).'", "status", "path", "sb"),
+]
 _MORE = [
-    _finding("'info'", "request-changed", _HAS.format(x="a0", y="b0", what=_REQ), "true", path="'request'"),
-    _finding("'breaking'", "request-changed", _HAS.format(x="b0", y="a0", what=_REQ), "true", path="'request'"),
-    _finding("'info'", "query-changed", _HAS.format(x="a0", y="b0", what=_QUE), "true", path="'query'"),
-    _finding("'risky'", "query-changed", _HAS.format(x="b0", y="a0", what=_QUE), "true", path="'query'"),
-    _finding("'breaking'", "type-changed", "(SELECT endpoint, status, count(*) AS n, count(body) AS bodies FROM x_b0 GROUP BY ALL)", "bodies = 0 AND (endpoint, status) IN (SELECT (endpoint, status) FROM x_a0 WHERE body IS NOT NULL)", "status", samples="n"),
-    _finding("'info'", "type-changed", _VARIANTS.format(x=_CORE.format(t="a"), y=_CORE.format(t="b")), "true", "status", "path", samples="sb"),
-    _finding("'risky'", "type-changed", _VARIANTS.format(x=_CORE.format(t="b"), y=_CORE.format(t="a")), "true", "status", "path", samples="sb"),
+    _finding("'info'", "request-changed", _HAS.format(x="a0", y="b0", what=_REQ), "true", "'Request body was removed in b (present in a) (path prefix \"request\").'", path="'request'"),
+    _finding("'breaking'", "request-changed", _HAS.format(x="b0", y="a0", what=_REQ), "true", "'Request body is now required in b but was absent in a (path prefix \"request\").'", path="'request'"),
+    _finding("'info'", "query-changed", _HAS.format(x="a0", y="b0", what=_QUE), "true", "'Query shape was removed in b (present in a) (path prefix \"query\").'", path="'query'"),
+    _finding("'risky'", "query-changed", _HAS.format(x="b0", y="a0", what=_QUE), "true", "'Query shape appeared in b (absent in a) (path prefix \"query\").'", path="'query'"),
 ]
+_ALL = _ENDPOINTS + _STATUSES + _PARAMS + _FIELDS + _NULLS + _TYPES + _BODY_TYPES + _FORMATS + _ENUMS + _MORE
 
 
 def _u(parts: list[str]) -> str:
@@ -175,13 +190,15 @@ SQL: dict[str, str] = {
     "drift_fields": _DT + _u(_FIELDS),
     "drift_params": _D + _u(_PARAMS),
     "drift_nullability": _DT + _u(_NULLS),
-    "drift_type_matrix": _DT + _u(_TYPES),
+    "drift_type_matrix": _DT + _u(_TYPES + _BODY_TYPES),
     "drift_enums": _DT + _u(_ENUMS),
     "drift_formats": _DT + _u(_FORMATS),
     "drift_unions": _DT + " SELECT endpoint, status, path, coalesce(a_nodes.family, b_nodes.family) AS family, a_nodes.samples AS n_a, b_nodes.samples AS n_b FROM a_nodes FULL JOIN b_nodes USING (endpoint, status, path, family) WHERE a_nodes.samples IS NULL OR b_nodes.samples IS NULL",
     "drift_summary": _DT + " SELECT severity, kind, count(*) AS n FROM (" + _u(_ALL) + ") GROUP BY ALL",
     "drift_report_sorted": _DT + " SELECT * FROM (" + _u(_ALL) + ")",
-    "drift_findings": _DT + " SELECT severity, kind, endpoint, status, CASE WHEN path <> '$' THEN regexp_replace(path, '^[$][.]?', '') END AS path, CASE WHEN kind NOT IN ('endpoint-added', 'status-added') THEN b_samples END AS b_samples FROM (" + _u(_ALL + _MORE) + ")",
+    "drift_findings": _DT + " SELECT severity, kind, endpoint, status, path, b_samples FROM (" + _u(_ALL) + ")",
+    "drift_low_confidence": _DT + " SELECT severity, kind, count(*) AS n, count(*) FILTER (b_samples < 3) AS n_low FROM (" + _u(_ALL) + ") GROUP BY ALL",
+    "claims_refused": _EE + "SELECT DISTINCT endpoint, 'response[' || status || ']' AS slot FROM x_exe WHERE status >= 400",
     "drift_counters": _D + " SELECT count(*) FILTER (a AND b) AS endpoints_compared, count(*) FILTER (a AND NOT b) AS endpoints_only_in_a, count(*) FILTER (b AND NOT a) AS endpoints_only_in_b FROM (SELECT bool_or(s = 'a') AS a, bool_or(s = 'b') AS b FROM (SELECT endpoint, 'a' AS s FROM x_a0 UNION ALL SELECT endpoint, 'b' FROM x_b0) GROUP BY endpoint)",
     "recording_catalog": "SELECT 'day-' || day(ts) AS name, 'http://events' AS target, count(*) AS n FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-03' GROUP BY ALL",
     "request_samples": _EE + "SELECT endpoint, status, arg_max(req_body, ord) AS sample FROM x_exe WHERE req_body IS NOT NULL GROUP BY ALL",
@@ -198,5 +215,5 @@ r AS (SELECT endpoint, status, method, pattern, count(*) AS n FROM x_exe GROUP B
 SELECT r.endpoint, r.status, r.n, ct.content_type, lower(method) || array_to_string(list_transform(list_filter(string_split(pattern, '/'), lambda p: p <> ''), lambda p: CASE WHEN p LIKE ':%' THEN 'By' ELSE '' END || """ + _PASCAL.format(x="p") + """), '') AS operation_id, pp.params,
   (SELECT count(DISTINCT path) FROM t_nodes t WHERE t.endpoint = r.endpoint AND t.status = r.status) AS body_places, rp.n AS request_places, qp.n AS query_places
 FROM r JOIN ct USING (endpoint, status) LEFT JOIN pp USING (endpoint) LEFT JOIN rp USING (endpoint) LEFT JOIN qp USING (endpoint)""",
-    "drift_fail_on": _DT + " SELECT coalesce(bool_or(severity IN ('breaking', 'risky')), false) AS fails FROM (" + _u(_ALL) + ")",
+    "drift_fail_on": _DT + " SELECT level, (SELECT count(*) FROM (" + _u(_ALL) + ") f WHERE CASE f.severity WHEN 'breaking' THEN 0 WHEN 'risky' THEN 1 ELSE 2 END <= r) > 0 AS fails FROM (VALUES ('breaking', 0), ('risky', 1), ('info', 2)) l(level, r)",
 }
