@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import kept
+from ..tables import kept, together
 from .model import Model, texts
 from .shapes import SEP, SHAPE
 
@@ -189,7 +189,7 @@ def findings(a: Model, b: Model, ignore_unmatched: bool = False, rules: Sequence
 
 
 def _shapes(a: Model, b: Model, shared: DataFrame) -> list[DataFrame]:
-    (va, pa), (vb, pb) = _side(a, shared), _side(b, shared)
+    (va, pa), (vb, pb) = together(lambda: _side(a, shared), lambda: _side(b, shared))
     roots = a.responses.select("endpoint", "status").join(b.responses.select("endpoint", "status", "count"), ["endpoint", "status"])
     named = lambda p, s: p.select(*_ON, "parent", "key", F.lit(True).alias(f"{s}_here"), *[F.col(c).alias(f"{c}_{s}") for c in ("optional", "seen", "nullable", "n", "one", "type", "core_text", "whole_text")])
     left, right = named(pa, "a"), named(pb, "b").withColumnsRenamed({"parent": "parent_r", "key": "key_r"})

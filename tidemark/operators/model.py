@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats
 from ..functions import scalars as S
-from ..tables import kept
+from ..tables import kept, together
 from . import shapes, state, trees
 
 SHAPE, SEP = shapes.SHAPE, shapes.SEP
@@ -195,8 +195,9 @@ def of_state(s: state.State, name: str = "recording", target: str = "", options:
     types = s.types.groupBy("endpoint", "status").agg(F.max_by("content_type", F.struct("n", -F.col("first_ord"))).alias("content_type"))
     responses = s.responses.select("endpoint", "status", F.col("n").alias("count"), "sample_body").join(types, ["endpoint", "status"], "left")
     params = s.params.drop("first_ord").join(listed, ["endpoint", "index"])
-    variants = observed(kept(s.parts), options) if shaped else _no_shapes(ends.sparkSession)
-    return Model(name, target, kept(ends), kept(params), kept(responses), variants, generated_at)
+    variants = lambda: observed(kept(s.parts), options) if shaped else _no_shapes(ends.sparkSession)
+    made = together(lambda: kept(ends), lambda: kept(params), lambda: kept(responses), variants)
+    return Model(name, target, *made, generated_at)
 
 
 def _no_shapes(spark: SparkSession) -> DataFrame:

@@ -7,14 +7,14 @@ bodies, not the number of exchanges.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..tables import kept
+from ..tables import kept, together
 from . import endpoints, firsts, shapes
 
 _PARAM = ["endpoint", "index"]
@@ -50,7 +50,7 @@ def bodies(exchanges: DataFrame) -> DataFrame:
 
 
 def gathered(x: DataFrame) -> State:
-    """The state of ``x`` (method, pattern, endpoint, params, status, ord, body, content_type; req_body and url where there are)."""
+    """The state of ``x``, its parts as the tasks give them (method, pattern, endpoint, params, status, ord, body, content_type; req_body and url where there are)."""
     sent = F.col("req_body") if "req_body" in x.columns else F.lit(None).cast("string")
     order = F.col("ord").cast("long")
     ends = x.select("endpoint", "method", "pattern", F.lit(1).cast("long").alias("n"), F.when(sent.isNotNull(), order).alias("request_ord"), sent.alias("request_sample"))
@@ -62,13 +62,13 @@ def gathered(x: DataFrame) -> State:
 
 
 def _added(s: State) -> State:
-    """The tables with one row for each key."""
+    """The tables with one row for each key, but for the parts."""
     ends = s.endpoints.groupBy("endpoint", "method", "pattern").agg(F.sum("n").alias("n"), F.max("request_ord").alias("request_ord"), F.max_by("request_sample", "request_ord").alias("request_sample"))
     params = s.params.groupBy(*_PARAM).agg(F.min("first_ord").alias("first_ord"), F.min_by("name", "first_ord").alias("name"), F.min_by("format", "first_ord").alias("format"))
     samples = firsts.merged(s.samples, _PARAM, "value", "first_ord", endpoints.MAX_SAMPLES).drop("rank")
     responses = s.responses.groupBy("endpoint", "status").agg(F.sum("n").alias("n"), F.max("body_ord").alias("body_ord"), F.max_by("sample_body", "body_ord").alias("sample_body"))
     types = s.types.groupBy("endpoint", "status", "content_type").agg(F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"))
-    return State(ends, params, samples, responses, types, added_parts(s.parts))
+    return State(ends, params, samples, responses, types, s.parts)
 
 
 def added_parts(parts: DataFrame, most: int = shapes.ENUM_MAX) -> DataFrame:
@@ -99,7 +99,8 @@ def added_parts(parts: DataFrame, most: int = shapes.ENUM_MAX) -> DataFrame:
 
 def merged(states: list[State]) -> State:
     """The state of all that the given ones have seen."""
-    return _added(State(**{name: reduce(DataFrame.unionByName, [getattr(s, name) for s in states]) for name in NAMES}))
+    s = _added(State(**{name: reduce(DataFrame.unionByName, [getattr(s, name) for s in states]) for name in NAMES}))
+    return replace(s, parts=added_parts(s.parts))
 
 
 def read(spark, folder: str) -> State:
@@ -107,5 +108,4 @@ def read(spark, folder: str) -> State:
 
 
 def write(state: State, folder: str) -> None:
-    for name in NAMES:
-        getattr(state, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    together(*[lambda n=name: getattr(state, n).write.mode("overwrite").parquet(f"{folder}/{n}") for name in NAMES])

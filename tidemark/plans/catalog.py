@@ -12,7 +12,7 @@ from ..functions import scalars as S
 from ..operators import claims, diff, emit, endpoints, model, reports, shapes
 from ..sources import store
 from ..sources import exchanges as X
-from ..tables import kept, shared_folder
+from ..tables import kept, shared_folder, together
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,7 +62,8 @@ def _side_obs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _side_models(s: SparkSession, d: str, shaped: bool = True) -> tuple[model.Model, model.Model]:
-    return tuple(model.build(kept(x), name, shaped=shaped) for x, name in zip(_sides(s, d), ("first half", "second half"), strict=True))
+    a, b = _sides(s, d)
+    return tuple(together(lambda: model.build(kept(a), "first half", shaped=shaped), lambda: model.build(kept(b), "second half", shaped=shaped)))
 
 
 def drift(*kinds: str) -> Query:

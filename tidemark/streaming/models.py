@@ -43,7 +43,7 @@ class ModelFolder:
         fs.delete(own, True)
         before = self.state(number)
         now = state.gathered(exchanges)
-        state.write(now if before is None else state.merged([before, now]), f"{self.folder}/v={number}")
+        state.write(state.merged([now] if before is None else [before, now]), f"{self.folder}/v={number}")
         fs.create(self._at(f"v={number}", "done")[1], True).close()
         for old in [v for v in self.versions() if v <= number][:-KEEP]:
             fs.delete(self._at(f"v={old}")[1], True)

@@ -6,9 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; a temporary one only where Spark runs on this machine alone."""
@@ -43,6 +48,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(*jobs: Callable[[], T]) -> list[T]:
+    """What the given functions return, each run in a thread of its own: small jobs that don't need each other share the cluster."""
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where it comes in fewer partitions than that, as a table of one small file does;
     a large table keeps its own partitions and isn't shuffled."""
