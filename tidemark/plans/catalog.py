@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import claims, diff, emit, endpoints, model, reports, shapes
+from ..operators import claims, diff, emit, endpoints, model, reports, shapes, state
 from ..sources import store
 from ..sources import exchanges as X
+from ..streaming import models
 from ..tables import kept, shared_folder, together
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -237,7 +238,37 @@ def claims_refused(s: SparkSession, d: str) -> DataFrame:
 
 def api_model(s: SparkSession, d: str) -> DataFrame:
     """Endpoints with their parameters, request, query and responses joined: a row for each response."""
-    m = model.build(kept(_exe(s, d)), "events")
+    return _joined(model.build(kept(_exe(s, d)), "events"))
+
+
+def _landed(s: SparkSession, d: str, batches: int) -> models.ModelFolder:
+    """The state that a stream of the events, landed in some files out of order, leaves."""
+    folder = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    columns = [c.split()[0] for c in models.LANDED.split(", ")]
+    X.events_as_exchanges(s, d).withColumn("status", F.col("status").cast("int")).select(*columns).repartition(batches, F.xxhash64("ord")).write.parquet(f"{folder}/in")
+    models.keep_model(models.landed(s, f"{folder}/in", max(1, batches // 2)), f"{folder}/model", f"{folder}/checkpoint").awaitTermination()
+    return models.ModelFolder(s, f"{folder}/model")
+
+
+def streamed_model(s: SparkSession, d: str) -> DataFrame:
+    """The API model of a stream, its state merged batch after batch."""
+    return _joined(_landed(s, d, 4).model("events"))
+
+
+def streamed_enums(s: SparkSession, d: str) -> DataFrame:
+    """Closed vocabularies of a stream's responses."""
+    found = shapes.enums(_landed(s, d, 4).state().parts)
+    return found.select("endpoint", "status", "path", "samples", F.array_join(F.sort_array(F.split("values", ",")), ",").alias("vals"))
+
+
+def merged_model(s: SparkSession, d: str) -> DataFrame:
+    """The API model of the states of three days' groups, gathered apart and merged."""
+    x = kept(_exe(s, d))
+    parts = together(*[lambda k=k: state.merged([state.gathered(x.where(F.dayofmonth("ts") % 3 == k))]) for k in range(3)])
+    return _joined(model.of_state(state.merged(parts), "events"))
+
+
+def _joined(m: model.Model) -> DataFrame:
     places = m.variants.groupBy("endpoint", "slot", "status").agg(F.count_distinct("path").alias("n"))
     slot = lambda name: places.where(F.col("slot") == name)
     params = m.params.groupBy("endpoint").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("index", "name", "format"))), lambda p: F.concat_ws(":", p["name"], p["format"])), ",").alias("params"))
@@ -256,16 +287,31 @@ def generated(target: str) -> Query:
     return lambda s, d: emit.files(model.build(kept(_exe(s, d)), "events", "http://localhost"), [target], fixtures=target == "msw")
 
 
+def _recorded(x: DataFrame) -> DataFrame:
+    """Events' exchanges with the columns of a recording."""
+    none = F.lit(None)
+    empty = F.create_map().cast("map<string,array<string>>")
+    columns = {"id": F.concat(F.lit("e"), F.col("ord").cast("string")), "started_at": F.col("ord"), "query": empty, "req_headers": F.create_map().cast("map<string,string>"), "req_text": none.cast("string"), "req_json": F.col("req_body")}
+    return x.withColumns(columns | {"res_headers": F.create_map(F.lit("content-type"), F.col("content_type")), "res_text": none.cast("string"), "res_json": F.col("body"), "duration_ms": F.lit(1).cast("long")})
+
+
+def recording_log(s: SparkSession, d: str) -> DataFrame:
+    """All events appended to one recording in five batches, one of them twice, and read back: places have no gaps within the log."""
+    found = store.Store(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}")
+    x = _recorded(X.events_as_exchanges(s, d))
+    for k in (0, 1, 2, 3, 4, 2):
+        found.append("all", x.where(F.col("ord") % 5 == k), f"batch-{k}")
+    rows = found.load("all").withColumn("batch", F.substring("id", 2, 20).cast("long") % 5)
+    return rows.groupBy("batch", "status").agg(F.count(F.lit(1)).alias("n"), F.count("req_json").alias("n_requests"), F.min("ord").alias("first_place"), F.max("ord").alias("last_place"))
+
+
 def recording_catalog(s: SparkSession, d: str) -> DataFrame:
     """Recordings of the first three days of events, written to a store and listed."""
     found = store.Store(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}")
     x = X.events_as_exchanges(s, d).where("to_date(ts) <= date'2024-01-03'").withColumn("day", F.dayofmonth("ts"))
-    none = F.lit(None)
-    columns = {"id": F.concat(F.lit("e"), F.col("ord").cast("string")), "started_at": F.col("ord"), "query": F.create_map().cast("map<string,array<string>>"), "req_headers": F.create_map().cast("map<string,string>"), "req_text": none.cast("string"), "req_json": F.col("req_body")}
-    columns |= {"res_headers": F.create_map(F.lit("content-type"), F.col("content_type")), "res_text": none.cast("string"), "res_json": F.col("body"), "duration_ms": F.lit(1).cast("long")}
     for day in (1, 2, 3):
         found.init(f"day-{day}", "http://events")
-        found.append(f"day-{day}", x.where(F.col("day") == day).withColumns(columns), "all")
+        found.append(f"day-{day}", _recorded(x.where(F.col("day") == day)), "all")
     return found.list().select("name", "target", F.col("exchangeCount").alias("n"))
 
 
@@ -338,7 +384,11 @@ QUERIES: dict[str, Query] = {
     "render_spark_ddl": lambda s, d: emit.render(_variants(s, d), "spark-ddl"),
     "render_openapi": lambda s, d: emit.openapi(_exe(s, d), _variants(s, d)),
     "recording_catalog": recording_catalog,
+    "recording_log": recording_log,
     "api_model": api_model,
+    "streamed_model": streamed_model,
+    "streamed_enums": streamed_enums,
+    "merged_model": merged_model,
     "request_samples": request_samples,
     "collapsed_shapes": collapsed_shapes,
     "json_content_type": lambda s, d: X.events_as_exchanges(s, d).select("ord", S.is_json_type(F.when(F.col("ord") % 4 == 0, "text/plain").when(F.col("ord") % 4 == 1, "Application/JSON; x=1").when(F.col("ord") % 4 == 2, F.col("content_type"))).alias("is_json")),

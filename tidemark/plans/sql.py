@@ -217,3 +217,7 @@ SELECT r.endpoint, r.status, r.n, ct.content_type, lower(method) || array_to_str
 FROM r JOIN ct USING (endpoint, status) LEFT JOIN pp USING (endpoint) LEFT JOIN rp USING (endpoint) LEFT JOIN qp USING (endpoint)""",
     "drift_fail_on": _DT + " SELECT level, (SELECT count(*) FROM (" + _u(_ALL) + ") f WHERE CASE f.severity WHEN 'breaking' THEN 0 WHEN 'risky' THEN 1 ELSE 2 END <= r) > 0 AS fails FROM (VALUES ('breaking', 0), ('risky', 1), ('info', 2)) l(level, r)",
 }
+SQL["streamed_model"] = SQL["merged_model"] = SQL["api_model"]
+SQL["streamed_enums"] = SQL["enum_detection"]
+SQL["recording_log"] = f"""WITH {EXE}, p AS (SELECT ord % 5 AS batch, status, req_body, row_number() OVER (ORDER BY ord % 5, ord) - 1 AS place FROM exe)
+SELECT batch, status, count(*) AS n, count(req_body) AS n_requests, min(place) AS first_place, max(place) AS last_place FROM p GROUP BY ALL"""
