@@ -221,3 +221,38 @@ SQL["streamed_model"] = SQL["merged_model"] = SQL["api_model"]
 SQL["streamed_enums"] = SQL["enum_detection"]
 SQL["recording_log"] = f"""WITH {EXE}, p AS (SELECT ord % 5 AS batch, status, req_body, row_number() OVER (ORDER BY ord % 5, ord) - 1 AS place FROM exe)
 SELECT batch, status, count(*) AS n, count(req_body) AS n_requests, min(place) AS first_place, max(place) AS last_place FROM p GROUP BY ALL"""
+
+_VIEW, _SIGNUP = "'GET /api/users/:userId/views/:viewId'", "'POST /api/users/:userId'"
+SQL["claims_drift"] = _T + f""", claimed AS (SELECT * FROM (VALUES ('id', true), ('type', true), ('tags', true), ('seen', true), ('value', false)) c(key, required)),
+seen AS (SELECT key, optional FROM t_fields WHERE endpoint = {_VIEW} AND status = 200 AND parent = '$'),
+pair AS (SELECT coalesce(c.key, o.key) AS key, c.required, o.optional FROM claimed c FULL JOIN seen o ON o.key = c.key),
+said AS (SELECT * FROM (VALUES ({_VIEW}, 200), ({_VIEW}, 304), ({_SIGNUP}, 201)) c(endpoint, status)),
+got AS (SELECT DISTINCT endpoint, status FROM x_exe WHERE endpoint IN ({_VIEW}, {_SIGNUP})),
+vals AS (SELECT unnest(vals) AS v FROM t_enums WHERE endpoint = {_VIEW} AND status = 200 AND path = '$.type')
+SELECT 'breaking' AS severity, 'field-removed' AS kind, {_VIEW} AS endpoint, 200 AS status, key AS path FROM pair WHERE optional IS NULL
+UNION ALL SELECT 'info', 'field-added', {_VIEW}, 200, key FROM pair WHERE required IS NULL
+UNION ALL SELECT CASE WHEN required THEN 'risky' ELSE 'info' END, 'optionality-changed', {_VIEW}, 200, key FROM pair WHERE required = optional
+UNION ALL SELECT 'risky', 'status-removed', endpoint, status, NULL FROM said WHERE (endpoint, status) NOT IN (SELECT (endpoint, status) FROM got) AND endpoint IN (SELECT endpoint FROM got)
+UNION ALL SELECT 'risky', 'status-added', endpoint, status, NULL FROM got WHERE (endpoint, status) NOT IN (SELECT (endpoint, status) FROM said)
+UNION ALL SELECT 'breaking', 'type-changed', endpoint, status, NULL FROM t_nodes WHERE endpoint = {_SIGNUP} AND status = 201 AND path = '$' AND family = 'object'
+UNION ALL SELECT 'risky', 'query-changed', endpoint, NULL, 'query' FROM x_exe WHERE endpoint = {_VIEW} AND contains(url, '?') GROUP BY endpoint
+UNION ALL SELECT 'info', 'field-added', endpoint, NULL, 'request.' || j.key FROM x_exe, json_each(req_body) j WHERE endpoint = {_SIGNUP} GROUP BY endpoint, j.key
+UNION ALL SELECT 'breaking', 'nullability-changed', endpoint, status, 'value' FROM t_types WHERE endpoint = {_VIEW} AND path = '$.value' AND nullable
+UNION ALL SELECT 'info', 'type-changed', endpoint, status, 'value' FROM t_types WHERE endpoint = {_VIEW} AND path = '$.value' AND type <> 'null'
+UNION ALL SELECT 'risky', 'type-changed', endpoint, status, 'tags[]' FROM t_nodes WHERE endpoint = {_VIEW} AND path = '$.tags[]' AND family <> 'string'
+UNION ALL SELECT 'risky', 'enum-values-changed', {_VIEW}, 200, 'type' WHERE EXISTS (FROM vals WHERE v NOT IN ('view', 'click'))
+UNION ALL SELECT 'info', 'enum-values-changed', {_VIEW}, 200, 'type' WHERE EXISTS (FROM vals) AND (SELECT count(*) FROM vals WHERE v IN ('view', 'click')) < 2"""
+#: Types of bodies whose fields hold scalars, arrays of scalars, or objects of scalars.
+SQL["render_types"] = _T + """, o AS (SELECT endpoint, status, ord, regexp_replace(j.fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path, regexp_replace(j.path, '\\[[0-9]+\\]', '[]', 'g') AS parent, CASE WHEN j.fullkey = '$' OR j.fullkey LIKE '%]' THEN NULL ELSE j.key END AS key,
+  CASE WHEN j.type = 'NULL' THEN 'null' WHEN j.type IN ('OBJECT', 'ARRAY', 'BOOLEAN') THEN lower(j.type) WHEN j.type = 'VARCHAR' THEN 'string' ELSE 'number' END AS family, CASE WHEN j.type = 'VARCHAR' THEN j.atom ->> '$' END AS sval, (ord, j.id) AS met FROM x_exe, json_tree(x_exe.body) AS j),
+word AS (SELECT endpoint, status, path, string_agg('"' || sval || '"', ' | ' ORDER BY met) AS word, count(*) AS k FROM (SELECT endpoint, status, path, sval, min(met) AS met FROM o WHERE sval IS NOT NULL AND (endpoint, status, path) IN (SELECT (endpoint, status, path) FROM t_enums) GROUP BY ALL) GROUP BY ALL),
+fam AS (SELECT endpoint, status, path, any_value(parent) AS parent, any_value(key) AS key, family, min(met) AS met FROM o GROUP BY endpoint, status, path, family),
+leaf AS (SELECT f.endpoint, f.status, f.path, string_agg(coalesce(CASE WHEN family = 'string' THEN word END, family), ' | ' ORDER BY family = 'null', f.met) AS text, count(*) > 1 OR max(coalesce(k, 1)) > 1 AS wide FROM fam f LEFT JOIN word USING (endpoint, status, path) WHERE family NOT IN ('object', 'array') GROUP BY ALL),
+note AS (SELECT endpoint, status, path, '/** format: ' || concat_ws(', ', CASE WHEN mask & 1 <> 0 THEN 'uuid' END, CASE WHEN mask & 2 <> 0 THEN 'date-time' END, CASE WHEN mask & 4 <> 0 THEN 'date' END, CASE WHEN mask & 8 <> 0 THEN 'email' END, CASE WHEN mask & 16 <> 0 THEN 'uri' END) || ' */ ' AS note FROM t_types WHERE type = 'string' AND NOT nullable AND mask > 0),
+need AS (SELECT endpoint, status, parent || '.' || key AS path, CASE WHEN optional THEN '?' ELSE '' END AS mark FROM t_fields),
+part AS (SELECT f.endpoint, f.status, f.path, f.family = 'null' AS last, f.met, CASE f.family WHEN 'array' THEN CASE WHEN e.text IS NULL THEN 'unknown[]' WHEN e.wide THEN 'Array<' || e.text || '>' ELSE e.text || '[]' END
+    WHEN 'object' THEN coalesce('{\n' || (SELECT string_agg('    ' || coalesce(n.note, '') || c.key || d.mark || ': ' || l.text || ';', '\n' ORDER BY c.met) FROM (SELECT endpoint, status, path, parent, key, min(met) AS met FROM fam GROUP BY ALL) c JOIN leaf l USING (endpoint, status, path) JOIN need d USING (endpoint, status, path) LEFT JOIN note n USING (endpoint, status, path) WHERE c.endpoint = f.endpoint AND c.status = f.status AND c.parent = f.path) || '\n  }', 'Record<string, never>')
+    ELSE coalesce(CASE WHEN f.family = 'string' THEN w.word END, f.family) END AS text
+  FROM fam f LEFT JOIN leaf e ON e.endpoint = f.endpoint AND e.status = f.status AND e.path = f.path || '[]' LEFT JOIN word w ON w.endpoint = f.endpoint AND w.status = f.status AND w.path = f.path WHERE f.parent = '$' AND f.key IS NOT NULL),
+line AS (SELECT p.endpoint, p.status, p.path, min(p.met) AS met, string_agg(p.text, ' | ' ORDER BY p.last, p.met) AS text FROM part p GROUP BY ALL)
+SELECT line.endpoint, line.status, '{\n' || string_agg('  ' || coalesce(note, '') || substr(path, 3) || mark || ': ' || text || ';', '\n' ORDER BY met) || '\n}' AS content FROM line JOIN need USING (endpoint, status, path) LEFT JOIN note USING (endpoint, status, path) GROUP BY ALL"""
