@@ -12,8 +12,9 @@ about proportional to its length.
 Texts are cut at the library's special strings and at white space; normalising and
 cutting into words are those of the tokenizer's own components, once for each distinct
 stretch between white space.  Texts are taken in pieces that end at white space, a few hundred thousand
-characters at a time; what is kept of stretches is counted in bytes and given up before it exceeds
-``STORE_BYTES``, so memory follows neither the length of a text nor the number of distinct words.
+characters at a time; what is kept of stretches is counted in bytes and lies in two generations: when the
+younger one has half of ``STORE_BYTES``, the older one goes, but for what was met again meanwhile.  So
+memory follows neither the length of a text nor the number of distinct words, and frequent words stay.
 
 Defined cases: a null or blank text has no ids and decodes to the empty text; repeated
 rows each get their row; an empty table gives an empty table; extra columns are ignored.
@@ -34,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that what is kept of stretches and words may take, and what each is taken to need besides its characters.
-STORE_BYTES, ENTRY_BYTES = 120_000_000, 640
+STORE_BYTES, ENTRY_BYTES = 360_000_000, 640
 LONG_WORD = 64
 #: Characters of texts whose stretches are learned together, rows and bytes of a batch of results.
-PIECE, SLICE_ROWS, SLICE_BYTES = 1 << 18, 1000, 1 << 22
+PIECE, SLICE_ROWS, SLICE_BYTES = 1 << 19, 1000, 1 << 22
 _GAP = re.compile("[ \n]")
 #: Unicode's white space, which the tokenizer's \s matches.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -101,12 +102,14 @@ class SpeculativeBPE:
         self._known = {t: i for t, i in self._ids.items() if sound[i]}
         lengths: dict[str, set[int]] = {}
         for t in self._known:
-            lengths.setdefault(t[:2], set()).add(len(t))
-        #: lengths of the tokens that begin with two characters, or are one, longest first
+            if len(t) >= 4:
+                lengths.setdefault(t[:4], set()).add(len(t))
+        #: lengths of the tokens that begin with four characters, longest first
         self._lengths = {head: sorted(found, reverse=True) for head, found in lengths.items()}
         self._longest = max(map(len, self._known))
         self._store: dict[str, tuple[bytes, str]] = {}
         self._words: dict[str, list[int]] = {}
+        self._old: dict[str, tuple[bytes, str]] = {}
         self._whole = any(c.isspace() for t in self._special for c in t)  # a special string with a gap could be cut
         self.held = self.guesses = self.merged = 0
 
@@ -146,24 +149,20 @@ class SpeculativeBPE:
         return [*word[:-1], word[-1] + self._mark]
 
     def _greedy(self, word: str) -> list[int] | None:
-        full, known, out, i = word + self._mark, self._known, [], 0
+        full, known, lengths, out, i = word + self._mark, self._known, self._lengths, [], 0
         n = len(word)
         while i < n:
             if n - i <= self._longest and (t := known.get(full[i:])) is not None:
                 out.append(t)
                 return out
-            for k in self._lengths.get(word[i : i + 2], ()):
+            for k in (*lengths.get(word[i : i + 4], ()), 3, 2, 1):
                 # the last character ends with the mark, so it is in no token before
                 if i + k < n and (t := known.get(word[i : i + k])) is not None:
                     out.append(t)
                     i += k
                     break
             else:
-                if i + 1 < n and (t := known.get(word[i])) is not None:
-                    out.append(t)
-                    i += 1
-                else:
-                    return None
+                return None
         return out
 
     def _exact_long(self, word: str) -> list[int]:
@@ -269,10 +268,9 @@ class SpeculativeBPE:
             self._store[s] = (np.array(ids, "<u4").tobytes(), "".join(" " + self.text_of[i] for i in ids))
         self.held += ENTRY_BYTES * len(stretches) + 8 * sum(map(len, stretches)) + 24 * sum(len(self._words[w]) for w in new)
 
-    def _forget(self) -> None:
-        self._store.clear()
-        self._words.clear()
-        self.held = 0
+    def _age(self) -> None:
+        """Begins a new generation."""
+        self._old, self._store, self._words, self.held = self._store, {}, {}, 0
         for s, i in self._special.items():
             self._store[s] = (np.array([i], "<u4").tobytes(), " " + s)
 
@@ -310,9 +308,16 @@ class SpeculativeBPE:
         yield from self._encoded(held)
 
     def _encoded(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes, str]]:
-        if not self._store or self.held > STORE_BYTES:
-            self._forget()
-        self._learn(list({s for _, ss in held for s in ss if s not in self._store}))
+        if not self._store or self.held > STORE_BYTES // 2:
+            self._age()
+        new = []
+        for s in {s for _, ss in held for s in ss if s not in self._store}:
+            if (known := self._old.get(s)) is None:
+                new.append(s)
+            else:
+                self._store[s] = known
+                self.held += ENTRY_BYTES // 2 + 8 * len(s)
+        self._learn(new)
         for k, ss in held:
             found = [self._store[s] for s in ss]
             yield k, b"".join([f[0] for f in found]), "".join([f[1] for f in found])
