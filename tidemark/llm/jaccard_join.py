@@ -10,7 +10,11 @@
    bitmaps do: each shingle flips one of 1,024 bits, and the bits in which two bitmaps
    differ bound the overlap from above.  Where more than ``PAIRS_UP_TO`` meet, pairs are
    not listed: all become neighbours of one of them.
-4. Connected candidates form a cluster.  In a cluster of more than ``BLOCK`` every document is first
+4. Connected candidates form a cluster.  A cluster of more than ``BLOCK`` may hang together by shingles that
+   are merely common, such as a template's; it is refined first: sizes and bitmaps alone, of about eight bits
+   a shingle, are compared in tiles of up to ``BITS_BLOCK`` documents a side, and what stays connected by
+   pairs that both bounds allow is a cluster of its own.  Linked documents pass both, so no link is lost,
+   and documents that share a template and no more need no shingles at all.  In a cluster of more than ``BLOCK`` every document is first
    held against the cluster's leader, its least one, and those that link with it form its team; what
    is left gets a new leader, ``LEADERS`` times.  So a large group of near copies costs
    a comparison for each of them.
@@ -44,6 +48,7 @@ KNOWN_SHINGLES = 1_000_000
 HOT = 1024
 PAIRS_UP_TO = 64
 BLOCK, BLOCK_SHINGLES = 128, 1 << 20
+BITS_BLOCK, MAX_BITS = 2048, 1 << 16
 LEADERS = 3
 BROADCAST_ROWS = 500_000
 
@@ -218,16 +223,16 @@ def _candidates(reps: DataFrame, percent: int) -> DataFrame:
     return near.union(meet.where("wide").select("a", "b")).union(stars)
 
 
-def _tiles(members: DataFrame, percent: int) -> DataFrame:
+def _tiles(members: DataFrame, percent: int, block: int, block_shingles: int) -> DataFrame:
     """(node, team, tile): each cluster's documents (node, n, cluster, team, which is 0 for those of
     no leader) dealt to tiles so that any two that may link, and aren't of one leader's team, share one."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     teams = LEADERS + 1
     m = members.withColumn("kind", band * teams + F.col("team"))
     counts = m.groupBy("cluster", "kind").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    blocks = F.ceil(F.greatest(F.col("k") / block, F.col("shingles") / block_shingles)).cast("int")
     plan = counts.groupBy("cluster").agg(F.sum("k").alias("total"), F.sum("shingles").alias("size"), F.map_from_entries(F.collect_list(F.struct("kind", blocks.alias("blocks")))).alias("blocks"))
-    plan = written(plan.where((F.col("total") > BLOCK) | (F.col("size") > BLOCK_SHINGLES)), "jaccard-plan")
+    plan = written(plan.where((F.col("total") > block) | (F.col("size") > block_shingles)), "jaccard-plan")
     joined = m.join(plan.select(F.col("cluster").alias("c"), "blocks"), F.col("cluster") == F.col("c"), "left")
     own = F.pmod(F.xxhash64("node", F.lit(11)), F.try_element_at("blocks", F.col("kind")).cast("long"))
 
@@ -278,6 +283,91 @@ def linked(ids: list[int], arrays: list[np.ndarray], percent: int, teams: list[i
     return out
 
 
+def _wide_bitmaps(values: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """For each set a bitmap of its own length, a power of two of about eight bits a shingle."""
+    out = []
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        size = min(MAX_BITS, max(BITS, 1 << int(8 * max(1, hi - lo) - 1).bit_length()))
+        odd = (np.bincount((values[lo:hi] & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+        out.append(np.packbits(odd, bitorder="little").view(np.uint64))
+    return out
+
+
+def near_by_bits(ids: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs whose sizes and bitmaps allow a link, as many as connect the documents as all such pairs do.
+
+    Of two bitmaps of different lengths the longer is folded: parities of its halves are those of half as many cells.
+    """
+    order = np.argsort(sizes, kind="stable")
+    ids, sizes, bits = ids[order], sizes[order], [bits[k] for k in order]
+    length = np.array([len(b) for b in bits])
+    group, out = np.arange(len(ids)), []
+    for cells in np.unique(length).tolist():
+        # lengths grow with sizes, and a set that may link with one of this length has at most twice the length
+        lo, hi = np.searchsorted(length, [cells, cells + 1])
+        top = int(np.searchsorted(length, 2 * cells, "right"))
+        same = np.stack([*bits[lo:hi], *[b[:cells] ^ b[cells:] for b in bits[hi:top]]])
+        for i in range(lo, hi):
+            end = min(top, int(np.searchsorted(sizes, 100 * sizes[i] // percent, "right")))
+            rest = i + 1 + np.flatnonzero(group[i + 1 : end] != group[i])
+            for at in range(0, len(rest), 1024):
+                some = rest[at : at + 1024]
+                differ = np.bitwise_count(same[some - lo] ^ same[i - lo]).sum(1, dtype=np.int64)
+                total = sizes[some] + sizes[i]
+                for j in some[(100 + percent) * (total - differ) >= 2 * percent * total].tolist():
+                    if group[j] != group[i]:
+                        out.append((int(ids[i]), int(ids[j])))
+                        group[group == group[j]] = group[i]
+    return out
+
+
+def _bits_of(docs: DataFrame, reps: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(node, bits) of the members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in V.chunks(batch.column("text")):
+                values, first = V.shingle_sets(data, at, width)
+                bits = _wide_bitmaps(values, first)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *_keys_of(values, first), V.list_column(np.concatenate(bits), np.append(0, np.cumsum([len(b) for b in bits])))], ["doc_id", "n", "s1", "s2", "bits"])
+
+    return _of_members(docs, reps, members, run, "bits")
+
+
+def _refined(docs: DataFrame, reps: DataFrame, members: DataFrame, percent: int, width: int) -> DataFrame:
+    """The members, large clusters being cut to what sizes and bitmaps connect; a document that is left alone goes."""
+    large = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK).select("cluster")
+    wide = written(members.join(large, "cluster", "left_semi"), "jaccard-wide")
+    if wide.isEmpty():
+        return members
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sizes, bits = None, [], [], []
+
+        def close():
+            found = near_by_bits(np.array(ids), np.array(sizes), bits, percent) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            column = batch.column("bits")
+            for k, (tile, node, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "node", "n")), strict=True)):
+                if tile != now:
+                    if ids:
+                        yield close()
+                    now, ids, sizes, bits = tile, [], [], []
+                ids.append(node)
+                sizes.append(n)
+                bits.append(column[k].values.to_numpy().astype(np.int64).view(np.uint64))
+        if ids:
+            yield close()
+
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = _tiles(wide.withColumn("team", F.lit(0)), percent, BITS_BLOCK, BITS_BLOCK << 12).join(wide.select("node", "n"), "node").join(_bits_of(docs, reps, wide, width), "node")
+    edges = written(dealt.select("tile", "node", "n", "bits").repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long"), "jaccard-bits")
+    again = components(edges).join(wide.select("node", "n"), "node").select("node", "n", F.col("component").alias("cluster"))
+    return written(members.join(large, "cluster", "left_anti").select("node", "n", "cluster").union(again), "jaccard-refined")
+
+
 def _shingles(docs: DataFrame, reps: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(node, shingles) of the members, as a table."""
 
@@ -287,11 +377,16 @@ def _shingles(docs: DataFrame, reps: DataFrame, members: DataFrame, width: int)
                 values, first = V.shingle_sets(data, at, width)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *_keys_of(values, first), V.list_column(values, first)], ["doc_id", "n", "s1", "s2", "shingles"])
 
+    return _of_members(docs, reps, members, run, "shingles")
+
+
+def _of_members(docs: DataFrame, reps: DataFrame, members: DataFrame, run, column: str) -> DataFrame:
+    """(node, ``column``) of the members, made by ``run`` from the texts of one row of each."""
     mine = written(reps.join(members.select(F.col("node").alias("class")), "class", "left_semi"), "jaccard-members-reps")
     ids = mine.select(F.col("rep").alias("id")).distinct()
     few = ids.count() <= BROADCAST_ROWS  # a larger list is joined by a shuffle
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    found = texts.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, shingles array<long>").select("doc_id", _node(), "shingles")
+    found = texts.mapInArrow(run, f"doc_id long, n long, s1 long, s2 long, {column} array<long>").select("doc_id", _node(), column)
     return _one_of_each(found, mine)
 
 
@@ -348,7 +443,7 @@ def _links(docs: DataFrame, reps: DataFrame, members: DataFrame, percent: int, w
     arrays = _shingles(docs, reps, members, width)
     placed, links = _teams(members, arrays, percent)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = arrays.join(_tiles(placed, percent), "node").repartition(parts, "tile").sortWithinPartitions("tile")
+    dealt = arrays.join(_tiles(placed, percent, BLOCK, BLOCK_SHINGLES), "node").repartition(parts, "tile").sortWithinPartitions("tile")
     return links.union(dealt.mapInArrow(tiles, "a long, b long"))
 
 
@@ -360,7 +455,7 @@ def classes(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     first = _prefixes(docs, reps, _known(sets), percent, width)
     clusters = components(_candidates(first, percent))
     members = written(clusters.join(nodes.select("node", "n"), "node").select("node", "n", F.col("component").alias("cluster")), "jaccard-members")
-    links = written(_links(docs, reps, members, percent, width), "jaccard-links")
+    links = written(_links(docs, reps, _refined(docs, reps, members, percent, width), percent, width), "jaccard-links")
     found = components(links)
     named = written(nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "jaccard-named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
