@@ -40,7 +40,7 @@ def found(df):
 
 
 def test_equals_sql(spark):
-    assert compare(connect("/root/testdata/sf0.01"), QUERIES["op12_vector_codes"](spark, "/root/testdata/sf0.01"), ORACLE_SQL["op12_vector_codes"]) == ""
+    assert compare(connect("/root/testdata/sf0.001"), QUERIES["op12_vector_codes"](spark, "/root/testdata/sf0.001"), ORACLE_SQL["op12_vector_codes"]) == ""
 
 
 def test_ties_copies_and_odd_rows(spark):
