@@ -256,3 +256,40 @@ part AS (SELECT f.endpoint, f.status, f.path, f.family = 'null' AS last, f.met,
   FROM fam f LEFT JOIN leaf e ON e.endpoint = f.endpoint AND e.status = f.status AND e.path = f.path || '[]' LEFT JOIN word w ON w.endpoint = f.endpoint AND w.status = f.status AND w.path = f.path WHERE f.parent = '$' AND f.key IS NOT NULL),
 line AS (SELECT p.endpoint, p.status, p.path, min(p.met) AS met, string_agg(p.text, ' | ' ORDER BY p.last, p.met) AS text FROM part p GROUP BY ALL)
 SELECT line.endpoint, line.status, '{\n' || string_agg('  ' || coalesce(note, '') || substr(path, 3) || mark || ': ' || text || ';', '\n' ORDER BY met) || '\n}' AS content FROM line JOIN need USING (endpoint, status, path) LEFT JOIN note USING (endpoint, status, path) GROUP BY ALL"""
+
+
+def _drawn(number: str, string: str, other: str, several: str, nullable: str, array: str, item: str, whole: str, inner: str) -> str:
+    """Bodies' shapes as text, for fields that hold scalars, arrays of scalars, or objects of scalars.
+
+    ``number``, ``string`` and ``other`` are texts of one kind of value (columns whole, mask, words, family); ``several`` and ``nullable`` join the
+    ordered list ``parts``; ``array`` wraps ``text``; ``item`` is a field (key, text, optional), ``whole`` and ``inner`` put the list ``items`` and ``need`` together.
+    """
+    lists = "list_filter(list(CASE WHEN NOT optional THEN '\"' || key || '\"' END ORDER BY met), lambda x: x IS NOT NULL)"
+    join = f"CASE WHEN len(parts) = 1 THEN parts[1] WHEN nulls AND len(parts) = 2 THEN {nullable} ELSE {several} END"
+    return _T + f""", o AS (SELECT endpoint, status, regexp_replace(j.fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path, regexp_replace(j.path, '\\[[0-9]+\\]', '[]', 'g') AS parent, CASE WHEN j.fullkey = '$' OR j.fullkey LIKE '%]' THEN NULL ELSE j.key END AS key,
+  CASE WHEN j.type = 'NULL' THEN 'null' WHEN j.type IN ('OBJECT', 'ARRAY', 'BOOLEAN') THEN lower(j.type) WHEN j.type = 'VARCHAR' THEN 'string' ELSE 'num' END AS family, CASE WHEN j.type = 'VARCHAR' THEN j.atom ->> '$' END AS sval, (ord, j.id) AS met FROM x_exe, json_tree(x_exe.body) AS j),
+word AS (SELECT endpoint, status, path, list('"' || sval || '"' ORDER BY met) AS words FROM (SELECT endpoint, status, path, sval, min(met) AS met FROM o WHERE sval IS NOT NULL AND (endpoint, status, path) IN (SELECT (endpoint, status, path) FROM t_enums) GROUP BY ALL) GROUP BY ALL),
+fam AS (SELECT f.*, n.all_int AS whole, n.fmt_mask AS mask, CASE WHEN f.family = 'string' THEN w.words END AS words FROM (SELECT endpoint, status, path, any_value(parent) AS parent, any_value(key) AS key, family, min(met) AS met FROM o GROUP BY endpoint, status, path, family) f JOIN t_nodes n USING (endpoint, status, path, family) LEFT JOIN word w USING (endpoint, status, path)),
+leaf AS (SELECT endpoint, status, path, {join} AS text FROM (SELECT endpoint, status, path, list(CASE family WHEN 'num' THEN {number} WHEN 'string' THEN {string} ELSE {other} END ORDER BY family = 'null', met) AS parts, bool_or(family = 'null') AS nulls FROM fam WHERE family NOT IN ('object', 'array') GROUP BY ALL)),
+place AS (SELECT endpoint, status, path, parent, key, min(met) AS met FROM fam WHERE key IS NOT NULL GROUP BY ALL),
+low AS (SELECT endpoint, status, path, {inner} AS text FROM (SELECT p.endpoint, p.status, p.parent AS path, list({item} ORDER BY p.met) AS items, {lists.replace('key', 'p.key').replace('met', 'p.met')} AS need FROM place p JOIN leaf USING (endpoint, status, path) JOIN t_fields d ON d.endpoint = p.endpoint AND d.status = p.status AND d.parent = p.parent AND d.key = p.key WHERE p.parent <> '$' GROUP BY ALL)),
+one AS (SELECT f.endpoint, f.status, f.path, f.family, f.met, CASE f.family WHEN 'object' THEN low.text WHEN 'array' THEN (SELECT {array} FROM (SELECT max(e.text) AS text FROM leaf e WHERE e.endpoint = f.endpoint AND e.status = f.status AND e.path = f.path || '[]')) WHEN 'num' THEN {number} WHEN 'string' THEN {string} ELSE {other} END AS text FROM fam f LEFT JOIN low USING (endpoint, status, path) WHERE f.parent = '$' AND f.key IS NOT NULL),
+joined AS (SELECT endpoint, status, path, {join} AS text FROM (SELECT endpoint, status, path, list(text ORDER BY family = 'null', met) AS parts, bool_or(family = 'null') AS nulls FROM one GROUP BY ALL))
+SELECT endpoint, status, {whole} AS content FROM (SELECT p.endpoint, p.status, list({item} ORDER BY p.met) AS items, {lists.replace('key', 'p.key').replace('met', 'p.met')} AS need FROM place p JOIN joined USING (endpoint, status, path) JOIN t_fields d ON d.endpoint = p.endpoint AND d.status = p.status AND d.parent = p.parent AND d.key = p.key WHERE p.parent = '$' GROUP BY ALL)"""
+
+
+SQL["render_zod"] = _drawn(
+    "'z.number()' || CASE WHEN whole THEN '.int()' ELSE '' END", "CASE WHEN words IS NOT NULL THEN 'z.enum([' || array_to_string(words, ', ') || '])' WHEN mask & 8 <> 0 THEN 'z.string().email()' ELSE 'z.string()' END", "'z.' || family || '()'",
+    "'z.union([' || array_to_string(parts, ', ') || '])'", "parts[1] || '.nullable()'", "'z.array(' || coalesce(text, 'z.unknown()') || ')'", "p.key || ': ' || text || CASE WHEN optional THEN '.optional()' ELSE '' END || ','",
+    "'z.object({\n  ' || array_to_string(items, '\n  ') || '\n})'", "'z.object({\n    ' || array_to_string(items, '\n    ') || '\n  })'",
+)
+SQL["render_spark_ddl"] = _drawn(
+    "CASE WHEN whole THEN 'BIGINT' ELSE 'DOUBLE' END", "'STRING'", "CASE family WHEN 'boolean' THEN 'BOOLEAN' ELSE 'STRING' END", "'STRING'", "parts[1]", "'ARRAY<' || coalesce(text, 'STRING') || '>'", "'`' || p.key || '`: ' || text",
+    "'STRUCT<' || array_to_string(items, ', ') || '>'", "'STRUCT<' || array_to_string(items, ', ') || '>'",
+)
+_NEED = "'{\"type\":\"object\",\"properties\":{' || array_to_string(items, ',') || '}' || CASE WHEN len(need) > 0 THEN ',\"required\":[' || array_to_string(need, ',') || ']' ELSE '' END || '}'"
+SQL["render_json_schema"] = _drawn(
+    "CASE WHEN whole THEN '{\"type\":\"integer\"}' ELSE '{\"type\":\"number\"}' END", "'{\"type\":\"string\"' || CASE WHEN words IS NOT NULL THEN ',\"enum\":[' || array_to_string(words, ',') || ']' WHEN mask & 8 <> 0 THEN ',\"format\":\"email\"' ELSE '' END || '}'", "'{\"type\":\"' || family || '\"}'",
+    "'{\"anyOf\":[' || array_to_string(parts, ',') || ']}'", "'{\"type\":[' || regexp_extract(parts[1], '\"type\":(\"[a-z]+\")', 1) || ',\"null\"]}'", "'{\"type\":\"array\",\"items\":' || coalesce(text, '{}') || '}'", "'\"' || p.key || '\":' || text",
+    _NEED, _NEED,
+)
