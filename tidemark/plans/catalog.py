@@ -89,6 +89,15 @@ def drift_endpoint_added(s: SparkSession, d: str) -> DataFrame:
     return found.join(b.endpoints.select("endpoint", F.col("samples").alias("n_b")), "endpoint", "left")
 
 
+def drift_statuses(s: SparkSession, d: str) -> DataFrame:
+    """Statuses that one side has alone, with their exchanges there."""
+    sides = _side_models(s, d, shaped=False)
+    found = diff.findings(*sides, rules=["statuses"]).where("kind in ('status-removed', 'status-added')").select(*_TOLD)
+    for side, n in zip(sides, ("n_a", "n_b"), strict=True):
+        found = found.join(side.responses.select("endpoint", "status", F.col("count").alias(n)), ["endpoint", "status"], "left")
+    return found
+
+
 def scan_skip_corrupt(s: SparkSession, d: str) -> DataFrame:
     """A log of exchanges, a thirteenth of its lines cut short and a seventeenth blank, is written and scanned."""
     o = F.col("ord")
@@ -374,7 +383,7 @@ QUERIES: dict[str, Query] = {
     "drift_endpoints": drift_endpoints,
     "drift_endpoint_removed": drift("endpoint-removed"),
     "drift_endpoint_added": drift_endpoint_added,
-    "drift_statuses": drift("status-removed", "status-added"),
+    "drift_statuses": drift_statuses,
     "drift_fields": drift("field-removed", "field-added", "optionality-changed"),
     "drift_params": drift("params-changed"),
     "drift_nullability": drift("nullability-changed"),

@@ -186,7 +186,7 @@ SQL: dict[str, str] = {
     "drift_endpoints": _D + " SELECT coalesce(a.endpoint, b.endpoint) AS endpoint, a.n AS n_a, b.n AS n_b FROM (SELECT endpoint, count(*) AS n FROM x_a0 GROUP BY 1) a FULL JOIN (SELECT endpoint, count(*) AS n FROM x_b0 GROUP BY 1) b ON a.endpoint = b.endpoint",
     "drift_endpoint_removed": _D + _u(_ENDPOINTS[:1]),
     "drift_endpoint_added": _D + " SELECT f.*, n_b FROM (" + _u(_ENDPOINTS[1:]) + ") f JOIN (SELECT endpoint, count(*) AS n_b FROM x_b0 GROUP BY 1) g USING (endpoint)",
-    "drift_statuses": _D + _u(_STATUSES),
+    "drift_statuses": _D + " SELECT f.*, n_a, n_b FROM (" + _u(_STATUSES) + ") f LEFT JOIN (SELECT endpoint, status, count(*) AS n_a FROM x_a0 GROUP BY ALL) g USING (endpoint, status) LEFT JOIN (SELECT endpoint, status, count(*) AS n_b FROM x_b0 GROUP BY ALL) h USING (endpoint, status)",
     "drift_fields": _DT + _u(_FIELDS),
     "drift_params": _D + _u(_PARAMS),
     "drift_nullability": _DT + _u(_NULLS),
