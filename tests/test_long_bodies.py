@@ -85,3 +85,14 @@ def test_a_long_body_in_the_model(spark):
     assert sorted((f["path"], f["kind"], f["type"], f["enum"]) for f in found) == [
         ("$", "record", None, None), ("${}", "object", None, None), ("${}.lines", "array", None, None), ("${}.lines[]", "primitive", "integer", None), ("${}.status", "primitive", "string", ["F", "O", "P", "X"]),
     ]
+
+
+def test_dictionaries_at_several_levels(spark, monkeypatch):
+    """Dictionaries in dictionaries: each level is looked up by itself, here in plans of its own."""
+    monkeypatch.setattr(model, "LEVELS", 1)
+    inner = {f"k{i}": 1.5 for i in range(12)}
+    body = {"a": {f"k{i}": {"x": {f"k{j}": inner for j in range(12)}} for i in range(12)}, "b": inner}
+    found = model.observed(shapes.observe(spark.createDataFrame([("GET /x", 200, 0, json.dumps(body))], BODIES))).select(shapes.shown("path").alias("path"), "kind").collect()
+    assert sorted(map(tuple, found)) == [
+        ("$", "object"), ("$.a", "record"), ("$.a{}", "object"), ("$.a{}.x", "record"), ("$.a{}.x{}", "record"), ("$.a{}.x{}{}", "primitive"), ("$.b", "record"), ("$.b{}", "primitive"),
+    ]
